@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .jaccard_join import op1_ngram_jaccard
+from .lattice_lm import op4_lattice_lm
 from .packing import op9_pack
 from .quality_rules import op6_quality_rules
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontaminate": op2_decontaminate,
+    "op4_lattice_lm": op4_lattice_lm,
     "op6_quality_rules": op6_quality_rules,
     "op9_pack": op9_pack,
 }

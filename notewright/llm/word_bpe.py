@@ -17,7 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 MAX_FAST = 48
-_NONE = np.iinfo(np.int32).max
+ABSENT = np.iinfo(np.int32).max
 
 
 def _byte_letters() -> list[str]:
@@ -31,13 +31,13 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class _PairTable:
-    """(rank, merged id) of pairs of ids: two hash tables, the second for what collides in the first."""
+class HashIndex:
+    """Places of int64 keys: two hash tables, the second for what collides in the first."""
 
     BITS = 20
 
-    def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.key, self.value = np.append(key, -1), np.append(value, 0)
+    def __init__(self, key: np.ndarray):
+        self.key = np.append(key, -1)
         rng = np.random.default_rng(1)
         while True:
             self.mult = rng.integers(1 << 62, size=2, dtype=np.int64) * 2 + 1
@@ -55,11 +55,11 @@ class _PairTable:
         return ((key.astype(np.uint64) * np.uint64(self.mult[i])) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def index(self, key: np.ndarray) -> np.ndarray:
-        """The pair's rank, or _NONE."""
+        """The key's place, or ABSENT."""
         a = self.slots[0, self._hash(key, 0)]
         bad = np.flatnonzero(self.key[a] != key)
         b = self.slots[1, self._hash(key[bad], 1)]
-        a[bad] = np.where(self.key[b] == key[bad], b, _NONE)
+        a[bad] = np.where(self.key[b] == key[bad], b, ABSENT)
         return a
 
 
@@ -79,7 +79,7 @@ class WordBpe:
         self.final = np.array([vocab[c + "</w>"] for c in letters], np.int32)
         a, b = (np.array([vocab[m[i]] for m in merges], np.int64) for i in range(2))
         self.merged = np.array([vocab[x + y] for x, y in merges], np.int32)
-        self.pairs = _PairTable(a << 20 | b, self.merged)
+        self.pairs = HashIndex(a << 20 | b)
         self._plain = regex.compile(r"[\x21-\x7e¡-įı-ɏ ]*+")
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ class WordBpe:
         while rank.shape[1]:
             at = rank.argmin(axis=1)
             low = rank[np.arange(len(row)), at]
-            done = low == _NONE
+            done = low == ABSENT
             if done.any():
                 result[row[done], : ids.shape[1]] = ids[done]
                 go = ~done
