@@ -10,6 +10,7 @@ from .lattice_lm import op4_lattice_lm
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op9_pack
 from .quality_rules import op6_quality_rules
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_lattice_lm": op4_lattice_lm,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pack": op9_pack,
     "op10_byte_cnn": op10_byte_cnn,
 }

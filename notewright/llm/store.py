@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -40,6 +41,20 @@ class Store:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def bloom_joins(spark: SparkSession):
+    """Within this, Spark puts a Bloom filter of a filtered, smaller side before the shuffle of a join's other side."""
+    knobs = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
+    before = {k: spark.conf.get(k, None) for k in knobs}
+    for k, v in knobs.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch of numpy arrays or lists, in the schema's order and types."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
