@@ -11,6 +11,7 @@ from .line_dedup import OP3_SQL, op3_line_dedup
 from .packing import op9_pack
 from .quality_rules import op6_quality_rules
 from .suffix_dedup import op8_suffix_dedup
+from .warc_zst import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -19,8 +20,9 @@ QUERIES = {
     "op4_lattice_lm": op4_lattice_lm,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pack": op9_pack,
     "op10_byte_cnn": op10_byte_cnn,
 }
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_warc": OP7_SQL}
