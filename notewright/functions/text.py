@@ -32,7 +32,7 @@ def strip_to_prose(c: Column, variant: str = "document") -> Column:
     c = F.translate(c, "|", " ")
     c = F.regexp_replace(c, "(?Udm)^[#>\\s]++", "")
     c = F.regexp_replace(c, "(?Udm)^[-*]\\s++", "")
-    c = F.regexp_replace(c, "(?Udm)^[-:\\s|]++$", "")
+    c = F.regexp_replace(c, "(?Udm)^[-:\\s|]+$", "")
     return F.translate(c, "*`>", "")
 
 
