@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.layout import MAX_SECTIONS, MIN_SECTIONS
 
-_ORDER = Window.partitionBy("doc_id").orderBy("pos")
-_SO_FAR = _ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_ALL = Window.partitionBy("doc_id")
+
+def _document():
+    return Window.partitionBy("doc_id")
+
+
+def _so_far():
+    return _document().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def type_histogram(sections: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def titles(sections: DataFrame, stem: Column | None = None) -> DataFrame:
 
 def with_title(sections: DataFrame) -> DataFrame:
     own = (F.col("type") == "heading") & (F.col("level") == 1)
-    return sections.withColumn("title", F.coalesce(F.min_by(F.when(own, F.col("text")), F.when(own, F.col("pos"))).over(_ALL), F.lit("")))
+    return sections.withColumn("title", F.coalesce(F.min_by(F.when(own, F.col("text")), F.when(own, F.col("pos"))).over(_document()), F.lit("")))
 
 
 def split_levels(sections: DataFrame, requested: int | None = None) -> DataFrame:
@@ -45,7 +49,7 @@ def split_levels(sections: DataFrame, requested: int | None = None) -> DataFrame
 def label_chapters(sections: DataFrame, level: int = 2) -> DataFrame:
     """Sections with the chapter each stands in: the last heading of that level so far, first the title."""
     own = F.when((F.col("type") == "heading") & (F.col("level") == level), F.col("text"))
-    return with_title(sections).withColumn("chapter", F.coalesce(F.last(own, ignorenulls=True).over(_SO_FAR), F.col("title"))).drop("title")
+    return with_title(sections).withColumn("chapter", F.coalesce(F.last(own, ignorenulls=True).over(_so_far()), F.col("title"))).drop("title")
 
 
 def chunk_rows(sections: DataFrame, level: int = 2) -> DataFrame:
@@ -59,7 +63,7 @@ def chunk_rows(sections: DataFrame, level: int = 2) -> DataFrame:
     named = (F.col("type") == "heading") & (F.col("text") != F.col("title"))
     split, above = named & (F.col("level") == level), named & (F.col("level") < level)
     rows = rows.withColumn("s", F.coalesce(split, F.lit(False))).withColumn("p", F.coalesce(above, F.lit(False)))
-    rows = rows.withColumn("k", F.sum(F.col("s").cast("int")).over(_SO_FAR)).withColumn("up", F.last(F.when(F.col("p"), F.col("text")), ignorenulls=True).over(_SO_FAR))
+    rows = rows.withColumn("k", F.sum(F.col("s").cast("int")).over(_so_far())).withColumn("up", F.last(F.when(F.col("p"), F.col("text")), ignorenulls=True).over(_so_far()))
     rows = rows.withColumn("chunk", F.when(F.col("s"), F.col("k")).when(F.col("p"), F.col("k") + 1).otherwise(F.greatest("k", F.lit(1))))
     own = Window.partitionBy("doc_id", "chunk")
     first = lambda flag, c: F.min_by(F.when(flag, F.col(c)), F.when(flag, F.col("pos"))).over(own)
@@ -97,7 +101,7 @@ def max_chunk_size(sections: DataFrame, level: int = 2) -> DataFrame:
     """(doc_id, max_size): most sections from one heading of the level to the next; all of them if there is none."""
     rows = with_title(sections)
     split = F.coalesce((F.col("type") == "heading") & (F.col("text") != F.col("title")) & (F.col("level") == level), F.lit(False))
-    rows = rows.withColumn("k", F.sum(split.cast("int")).over(_SO_FAR)).groupBy("doc_id", "k").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("k", F.sum(split.cast("int")).over(_so_far())).groupBy("doc_id", "k").agg(F.count("*").alias("n"))
     return rows.groupBy("doc_id").agg(F.coalesce(F.max(F.when(F.col("k") > 0, F.col("n"))), F.sum("n")).alias("max_size"))
 
 
