@@ -22,9 +22,10 @@ from .bytesets import U64, column_bytes, mix
 from .store import Store, arrow_rows, bloom_joins, partitions, table
 
 SPAN, GRAM = 200, 32
-SEGMENT = 1 << 20
-BUCKET_BYTES = 64 << 20
-CHUNK_BYTES = 4 << 20
+SEGMENT = 1 << 19
+BUCKET_BYTES = 32 << 20
+CHUNK_BYTES = 1 << 20
+CUT_ROWS = 4000
 _BASE = 0xD1342543DE82EF95
 _PLACE = U64((1 << 22) - 1)
 
@@ -238,9 +239,13 @@ def _cut(batches):
         out = []
         for raw, key, wanted in zip(batch["text"].cast(pa.large_binary() if pa.types.is_large_string(batch["text"].type) else pa.binary()), batch["key"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
             view = memoryview(raw.as_buffer())
-            out.extend((key, w["anchor"], w["start"], w["content"], bytes(view[w["start"] : w["end"]])) for w in wanted)
-        for lo in range(0, len(out), 20_000):
-            yield arrow_rows(schema, **dict(zip(schema.names, zip(*out[lo : lo + 20_000], strict=True), strict=True)))
+            for w in wanted:
+                out.append((key, w["anchor"], w["start"], w["content"], bytes(view[w["start"] : w["end"]])))
+                if len(out) == CUT_ROWS:
+                    yield arrow_rows(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+                    out = []
+        if out:
+            yield arrow_rows(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
 
 
 def _merge(spans: list[dict]) -> list[tuple[int, int]]:
