@@ -61,7 +61,8 @@ def numbers(c: Column) -> Column:
 
 def long_enumerations(c: Column, min_items: int = 5) -> Column:
     """Items of each run of short items that ideographic commas join, where so many items are left."""
-    runs = find_all(c, "[^，。；！？、\\n]++(?:、[^，。；！？、\\n]++)++")
+    # No try inside a run: a long text without commas would be read again from each character.
+    runs = find_all(c, "(?<![^，。；！？、\\n])[^，。；！？、\\n]++(?:、[^，。；！？、\\n]++)++")
     items = F.transform(runs, lambda r: F.filter(F.transform(F.split(r, "、"), lambda x: F.regexp_replace(strip(x), "[…. ]++\\z", "")), lambda x: F.length(x).between(1, 12)))
     return F.filter(items, lambda x: F.size(x) >= min_items)
 

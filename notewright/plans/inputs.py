@@ -30,6 +30,9 @@ _SPARK = {"NL": "chr(10)", "BS": "chr(92)", "BQ": "repeat(chr(96),3)", "STR": "S
 _DUCK = _SPARK | {"STR": "VARCHAR", "LINES": "SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents)"}
 
 NOTES_SQL, SECTIONS_SQL = _NOTES.format(**_DUCK), _SECTIONS.format(**_DUCK)
+#: The same notes with each document's whole text.
+_WHOLE_NOTES = _NOTES.replace("substring(text, 1, 400)", "text")
+WHOLE_NOTES_SQL = _WHOLE_NOTES.format(**_DUCK)
 PAIRS_SQL = "SELECT doc_id, text AS source, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 4 <> 0), chr(10)) AS note FROM documents"
 
 
@@ -45,6 +48,10 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, _NOTES.format(**_SPARK)).withColumnRenamed("doc_id", "note_id")
 
 
+def whole_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, _WHOLE_NOTES.format(**_SPARK)).withColumnRenamed("doc_id", "note_id")
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, _SECTIONS.format(**_SPARK))
 

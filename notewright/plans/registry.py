@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
@@ -9,7 +12,7 @@ from ..functions import text as T
 from ..functions.rx import find_all, split_lines
 from ..operators import lint, notes, structure
 from . import inputs
-from .inputs import NOTES_SQL, PAIRS_SQL, SECTIONS_SQL
+from .inputs import NOTES_SQL, PAIRS_SQL, SECTIONS_SQL, WHOLE_NOTES_SQL
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +26,10 @@ def _query(name: str, sql: str | None = None):
         QUERIES[name] = f
         if sql:
             ORACLE[name] = sql
+        if "source" in inspect.signature(f).parameters:  # the note holds 400 characters of the text; in NAME_whole all of it
+            QUERIES[f"{name}_whole"] = partial(f, source=inputs.whole_notes)
+            if sql:
+                ORACLE[f"{name}_whole"] = sql.replace(NOTES_SQL, WHOLE_NOTES_SQL)
         return f
 
     return add
@@ -134,35 +141,35 @@ _PROSE = {
 for _variant, _sql in _PROSE.items():
 
     @_query(f"prose_{_variant}", f"{_MD} SELECT note_id, length(regexp_replace({_sql}, '\\s+', '', 'g'))::BIGINT AS chars FROM n")
-    def prose(spark, sf_dir, variant=_variant):
-        return inputs.notes(spark, sf_dir).select("note_id", T.count_chars(T.strip_to_prose(F.col("md"), variant)).cast("long").alias("chars"))
+    def prose(spark, sf_dir, source=inputs.notes, variant=_variant):
+        return source(spark, sf_dir).select("note_id", T.count_chars(T.strip_to_prose(F.col("md"), variant)).cast("long").alias("chars"))
 
 
 @_query("long_enumerations", f"""{_MD}, e AS (SELECT note_id, unnest(regexp_extract_all(md, '[^，。；！？、\\n]+(?:、[^，。；！？、\\n]+)+')) AS r FROM n),
  i AS (SELECT note_id, list_filter(list_transform(string_split(r, '、'), lambda x: rtrim(trim(x), '…. ')), lambda x: length(x) BETWEEN 1 AND 12) AS l FROM e) SELECT note_id, array_to_string(l, '|') AS items FROM i WHERE len(l) >= 5""")
-def long_enumerations(spark, sf_dir):
-    return inputs.notes(spark, sf_dir).select("note_id", F.explode(T.long_enumerations(F.col("md"))).alias("l")).select("note_id", _joined("l").alias("items"))
+def long_enumerations(spark, sf_dir, source=inputs.notes):
+    return source(spark, sf_dir).select("note_id", F.explode(T.long_enumerations(F.col("md"))).alias("l")).select("note_id", _joined("l").alias("items"))
 
 
 # --- claims
 @_query("frontmatter", f"""{_MD} SELECT note_id, regexp_extract(md, '(?m)^title: "(.*)"$', 1) AS title, regexp_extract(md, '(?m)^current_version: "(.*)"$', 1) AS version, replace(regexp_extract(md, '(?m)^tags: \\[(.*?)\\]', 1), ', ', '|') AS tags FROM n""")
-def frontmatter(spark, sf_dir):
+def frontmatter(spark, sf_dir, source=inputs.notes):
     md = F.col("md")
-    return inputs.notes(spark, sf_dir).select("note_id", T.frontmatter_value(md, "title").alias("title"), T.frontmatter_value(md, "current_version").alias("version"), _joined(T.frontmatter_tags(md)).alias("tags"))
+    return source(spark, sf_dir).select("note_id", T.frontmatter_value(md, "title").alias("title"), T.frontmatter_value(md, "current_version").alias("version"), _joined(T.frontmatter_tags(md)).alias("tags"))
 
 
 @_query("tech_inference", f"""{_MD}, f AS (SELECT note_id, lower(concat(regexp_extract(md, '(?m)^title: "(.*)"$', 1), ' ', regexp_extract(md, '(?m)^tags: \\[(.*?)\\]', 1), ' ', regexp_extract(md, '(?m)^current_version: "(.*)"$', 1))) AS x, regexp_extract(md, '(?m)^current_version: "(.*)"$', 1) AS v FROM n)
 SELECT note_id, CASE {' '.join(f"WHEN contains(x, '{k}') THEN '{v}'" for k, v in T.TECH.items())} ELSE '' END AS tech, regexp_extract(v, '(\\d+\\.\\d+[\\.\\d]*)', 1) AS note_version FROM f""")
-def tech_inference(spark, sf_dir):
-    return notes.note_claims(inputs.notes(spark, sf_dir)).select("note_id", "tech", "note_version")
+def tech_inference(spark, sf_dir, source=inputs.notes):
+    return notes.note_claims(source(spark, sf_dir)).select("note_id", "tech", "note_version")
 
 
 _BLOCKS = "```(\\w*)\\n((?s:.*?))```"
 
 
 @_query("fenced_blocks", f"{_MD}, b AS (SELECT note_id, regexp_extract_all(md, '{_BLOCKS}', 1) AS l, regexp_extract_all(md, '{_BLOCKS}', 2) AS c FROM n) SELECT note_id, unnest(l) AS lang, md5(unnest(c)) AS content FROM b")
-def fenced_blocks(spark, sf_dir):
-    return inputs.notes(spark, sf_dir).select("note_id", F.explode(T.fenced_blocks(F.col("md"))).alias("b")).select("note_id", "b.lang", F.md5("b.content").alias("content"))
+def fenced_blocks(spark, sf_dir, source=inputs.notes):
+    return source(spark, sf_dir).select("note_id", F.explode(T.fenced_blocks(F.col("md"))).alias("b")).select("note_id", "b.lang", F.md5("b.content").alias("content"))
 
 
 _JVM = f"{_MD}, b AS (SELECT note_id, unnest(regexp_extract_all(md, '{_BLOCKS}', 1)) AS l, unnest(regexp_extract_all(md, '{_BLOCKS}', 2)) AS c FROM n)"
@@ -177,64 +184,64 @@ _KEEP = {"imports": "true", "classes": "length(x) > 2", "methods": "length(x) >
 for _kind, _sql in _CLAIMS.items():
 
     @_query(f"claims_{_kind}", f"{_JVM}, x AS ({_sql}) SELECT DISTINCT note_id, x AS name FROM x WHERE {_KEEP[_kind]}")
-    def claims(spark, sf_dir, kind=_kind):
-        return notes.note_claims(inputs.notes(spark, sf_dir)).select("note_id", F.explode(kind).alias("name"))
+    def claims(spark, sf_dir, source=inputs.notes, kind=_kind):
+        return notes.note_claims(source(spark, sf_dir)).select("note_id", F.explode(kind).alias("name"))
 
 
 @_query("versions_mentioned", f"""{_MD}, b AS (SELECT note_id, regexp_replace(md, '(?s)\\A---\\n.*?\\n---\\n', '') AS md FROM n), v AS (SELECT note_id, unnest(regexp_extract_all(md, '\\b([A-Z][A-Za-z]+(?:\\s[A-Za-z]+)?)\\s+(\\d+\\.\\d+[\\.\\d]*)\\b', 1)) AS a, unnest(regexp_extract_all(md, '\\b([A-Z][A-Za-z]+(?:\\s[A-Za-z]+)?)\\s+(\\d+\\.\\d+[\\.\\d]*)\\b', 2)) AS b FROM b) SELECT DISTINCT note_id, concat(a, ' ', b) AS version FROM v""")
-def versions_mentioned(spark, sf_dir):
-    return notes.note_claims(inputs.notes(spark, sf_dir)).select("note_id", F.explode("versions_mentioned").alias("version"))
+def versions_mentioned(spark, sf_dir, source=inputs.notes):
+    return notes.note_claims(source(spark, sf_dir)).select("note_id", F.explode("versions_mentioned").alias("version"))
 
 
 @_query("deprecated_names", f"{_MD} SELECT note_id, 'OldApi' || (note_id % 3)::VARCHAR AS name FROM n WHERE contains(md, '[!WARNING]')")
-def deprecated_names(spark, sf_dir):
-    return notes.note_claims(inputs.notes(spark, sf_dir)).select("note_id", F.explode("deprecated").alias("name"))
+def deprecated_names(spark, sf_dir, source=inputs.notes):
+    return notes.note_claims(source(spark, sf_dir)).select("note_id", F.explode("deprecated").alias("name"))
 
 
 # --- lint and repair
 @_query("lint_tally", f"""{_MD} SELECT 'ERROR' AS level, 'E1' AS code, count(*) AS n FROM n WHERE note_id % 8 = 3 UNION ALL SELECT 'WARN', 'W2', count(*) FROM n WHERE note_id % 8 = 3 UNION ALL SELECT 'WARN', 'W3', count(*) FROM n WHERE note_id % 8 = 4 UNION ALL SELECT 'WARN', 'W4', count(*) FROM n WHERE note_id % 8 = 4
 UNION ALL SELECT 'ERROR', 'E3', count(*) FROM n WHERE note_id % 8 = 5 UNION ALL SELECT 'ERROR', 'E4', count(*) FROM n WHERE note_id % 8 = 6 UNION ALL SELECT 'ERROR', 'E5', count(*) FROM n WHERE note_id % 8 = 6 UNION ALL SELECT 'ERROR', 'E2', count(*) FROM n WHERE note_id % 8 = 7""")
-def lint_tally(spark, sf_dir):
-    return lint.lint_tally(lint.lint_issues(inputs.notes(spark, sf_dir)))
+def lint_tally(spark, sf_dir, source=inputs.notes):
+    return lint.lint_tally(lint.lint_issues(source(spark, sf_dir)))
 
 
 @_query("lint_unclosed", f"""{_MD}, l AS (SELECT note_id, string_split(md, chr(10)) AS l FROM n WHERE note_id % 8 = 7) SELECT note_id, list_position(l, '```mermaid')::INT AS line FROM l""")
-def lint_unclosed(spark, sf_dir):
-    return lint.lint_issues(inputs.notes(spark, sf_dir)).where("code = 'E2'").select("note_id", "line")
+def lint_unclosed(spark, sf_dir, source=inputs.notes):
+    return lint.lint_issues(source(spark, sf_dir)).where("code = 'E2'").select("note_id", "line")
 
 
 @_query("fence_ranges", f"""{_MD}, l AS (SELECT note_id, string_split(md, chr(10)) AS l FROM n), f AS (SELECT note_id, list_position(list_transform(l, lambda x: starts_with(x, '```')), true) AS a, list_position(l, '```') AS b FROM l) SELECT note_id, (a - 1)::INT AS s, (b - 1)::INT AS e FROM f WHERE a > 0 AND b > a""")
-def fence_ranges(spark, sf_dir):
-    return inputs.notes(spark, sf_dir).select("note_id", F.explode(lint.fence_ranges(split_lines(F.col("md")))).alias("f")).select("note_id", "f.s", "f.e")
+def fence_ranges(spark, sf_dir, source=inputs.notes):
+    return source(spark, sf_dir).select("note_id", F.explode(lint.fence_ranges(split_lines(F.col("md")))).alias("f")).select("note_id", "f.s", "f.e")
 
 
 @_query("table_repair", f"""{_MD} SELECT note_id, md5(CASE WHEN note_id % 8 = 7 THEN replace(md, chr(10) || '||b|', chr(10) || chr(10) || '| |b|') ELSE md END) AS fixed, CASE WHEN note_id % 8 = 7 THEN 2 ELSE 0 END AS fixes FROM n""")
-def table_repair(spark, sf_dir):
-    return inputs.notes(spark, sf_dir).select("note_id", lint.repair_tables(F.col("md")).alias("r")).select("note_id", F.md5("r.md").alias("fixed"), "r.fixes")
+def table_repair(spark, sf_dir, source=inputs.notes):
+    return source(spark, sf_dir).select("note_id", lint.repair_tables(F.col("md")).alias("r")).select("note_id", F.md5("r.md").alias("fixed"), "r.fixes")
 
 
 @_query("mermaid_repair", f"""{_MD}, b AS (SELECT note_id, regexp_extract(md, '```mermaid\\n((?s:.*?))```', 1) AS b FROM n) SELECT note_id, md5(CASE WHEN note_id % 8 = 3 THEN replace(b, chr(92) || 'n', '<br/>') ELSE b END) AS fixed FROM b WHERE b <> ''""")
-def mermaid_repair(spark, sf_dir):
+def mermaid_repair(spark, sf_dir, source=inputs.notes):
     block = F.regexp_extract("md", "```mermaid\\n((?s:.*?))```", 1)
-    return inputs.notes(spark, sf_dir).select("note_id", block.alias("b")).where("b <> ''").select("note_id", F.md5(lint.repair_mermaid(F.col("b"))).alias("fixed"))
+    return source(spark, sf_dir).select("note_id", block.alias("b")).where("b <> ''").select("note_id", F.md5(lint.repair_mermaid(F.col("b"))).alias("fixed"))
 
 
 @_query("blank_and_heading_repair", f"{_MD} SELECT note_id, md5(regexp_replace(regexp_replace(concat(md, chr(10), chr(10), chr(10), md), '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^# (.+)$', '## \\1', 'g')) AS fixed FROM n")
-def blank_and_heading_repair(spark, sf_dir):
-    return inputs.notes(spark, sf_dir).select("note_id", F.md5(T.demote_h1(T.collapse_blank(F.concat("md", F.lit("\n\n\n"), "md")))).alias("fixed"))
+def blank_and_heading_repair(spark, sf_dir, source=inputs.notes):
+    return source(spark, sf_dir).select("note_id", F.md5(T.demote_h1(T.collapse_blank(F.concat("md", F.lit("\n\n\n"), "md")))).alias("fixed"))
 
 
 # --- links and assets
 @_query("note_urls", f"""{_MD}, m AS (SELECT note_id, regexp_extract(md, '!?\\[[^\\]]*\\]\\((https?://[^) \\t\\n]+)\\)', 1) AS u, regexp_matches(md, '!\\[[^\\]]*\\]\\(https?://') AS i, rtrim(regexp_extract(md, '[^(](https?://[^\\s)"''<>]+)', 1), '.,;)') AS bare FROM n)
 SELECT note_id, 0 AS place, u AS url, i AS is_image FROM m UNION ALL SELECT note_id, 1, bare, false FROM m""")
-def note_urls(spark, sf_dir):
-    return notes.note_urls(inputs.notes(spark, sf_dir))
+def note_urls(spark, sf_dir, source=inputs.notes):
+    return notes.note_urls(source(spark, sf_dir))
 
 
 @_query("probe_plan", f"""{_MD}, m AS (SELECT note_id, regexp_extract(md, '!?\\[[^\\]]*\\]\\((https?://[^) \\t\\n]+)\\)', 1) AS url, regexp_matches(md, '!\\[[^\\]]*\\]\\(https?://') AS i FROM n UNION ALL SELECT note_id, rtrim(regexp_extract(md, '[^(](https?://[^\\s)"''<>]+)', 1), '.,;)'), false FROM n)
 SELECT url, bool_or(i) AS is_image, count(DISTINCT note_id) AS n_notes FROM m GROUP BY url""")
-def probe_plan(spark, sf_dir):
-    return notes.probe_plan(notes.note_urls(inputs.notes(spark, sf_dir)))
+def probe_plan(spark, sf_dir, source=inputs.notes):
+    return notes.probe_plan(notes.note_urls(source(spark, sf_dir)))
 
 
 @_query("content_groups", "SELECT md5(text) AS content_key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
@@ -243,8 +250,8 @@ def content_groups(spark, sf_dir):
 
 
 @_query("image_numbering", f"{_MD} SELECT note_id, 1 AS place, 'img/' || note_id::VARCHAR || '.png' AS path, 'p01_f' || lpad((note_id % 90)::VARCHAR, 2, '0') || '_img001' AS name FROM n")
-def image_numbering(spark, sf_dir):
-    rows = inputs.notes(spark, sf_dir).select("note_id", F.concat("md", F.lit("![a](img/"), F.col("note_id").cast("string"), F.lit(".png)")).alias("md"), (F.col("note_id") % 90).cast("int").alias("file_index"))
+def image_numbering(spark, sf_dir, source=inputs.notes):
+    rows = source(spark, sf_dir).select("note_id", F.concat("md", F.lit("![a](img/"), F.col("note_id").cast("string"), F.lit(".png)")).alias("md"), (F.col("note_id") % 90).cast("int").alias("file_index"))
     return notes.image_refs(rows).select("note_id", "place", "path", "name")
 
 
@@ -261,5 +268,5 @@ def image_rules(spark, sf_dir):
 
 
 @_query("gates", f"""{_MD} SELECT note_id, length(md) > 1000 AS long_enough, 3 AS n_keys, 2 AS n_tags, false AS unanswered, 0 AS placeholders, false AS too_large FROM n""")
-def gates(spark, sf_dir):
-    return notes.gates(inputs.notes(spark, sf_dir)).drop("n_diagrams", "n_external")
+def gates(spark, sf_dir, source=inputs.notes):
+    return notes.gates(source(spark, sf_dir)).drop("n_diagrams", "n_external")
