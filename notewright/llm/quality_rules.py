@@ -1,11 +1,14 @@
 """Quality rules whose cutoffs limit false rejection on labelled holdouts.
 
-Each rule compares a statistic of a text with a cutoff from a fixed grid. For each
-stratum (language), the texts labelled good give, for every rule and cutoff, the
-number that it would reject; an exact (Clopper-Pearson) upper bound of that rate,
-at a confidence that is corrected for all bounds looked at (Bonferroni), must be
-within the rule's part of the allowed rate. The strictest such cutoff is taken; a
-rule without one rejects nothing in that stratum.
+Each rule compares a statistic of a text with a cutoff from a fixed grid. In each
+stratum (language), a rule may cut off a number of blocks between neighbouring values
+of the good texts, fixed by their number alone; it takes the strictest cutoff with
+fewer good texts above. Blocks have an exact joint distribution (Wald's and Tukey's
+tolerance regions; ties and the grid only make it safer), however the cutoffs were
+found from the same texts: all rules together reject more than the allowed rate with
+a small chance, with no correction over rules and cutoffs, only over strata that are
+large enough for a block. Where there are fewer blocks than rules, the first rules
+have one each; a rule without a block or a cutoff rejects nothing in that stratum.
 """
 
 from __future__ import annotations
@@ -92,14 +95,34 @@ def upper_bound(k: int, n: int, miss: float) -> float:
     return hi
 
 
+def blocks(n: int, alpha: float, miss: float) -> int:
+    """The most order-statistic blocks that n good texts allow to cut off: their joint rate is above `alpha` with a chance of `miss` at most.
+
+    That chance is P(X < blocks), X binomial of n and alpha.
+    """
+    total, done = -math.inf, 0
+    while done <= n:
+        term = math.lgamma(n + 1) - math.lgamma(done + 1) - math.lgamma(n - done + 1) + done * math.log(alpha) + (n - done) * math.log1p(-alpha)
+        top = max(total, term)
+        total = top + math.log(math.exp(total - top) + math.exp(term - top))
+        if total > math.log(miss):
+            break
+        done += 1
+    return done
+
+
 def choose_cutoffs(rejected: dict[tuple[str, str], list[int]], good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
     """Cutoffs by (stratum, rule). rejected: how many good texts lie above each of the rule's cutoffs."""
-    looks = len(good) * sum(len(grid) for _, grid in RULES.values())
+    able = dict(good)
+    while small := [x for x, n in able.items() if not blocks(n, alpha, delta / len(able))]:
+        del able[min(small, key=lambda x: (able[x], x))]
+    share = {x: blocks(n, alpha, delta / len(able)) for x, n in able.items()}
     out = {}
     for (stratum, rule), counts in rejected.items():
-        n, allowed = good[stratum], alpha / len(RULES)
+        each, more = divmod(share.get(stratum, 0), len(RULES))
+        own = each + (list(RULES).index(rule) < more)
         for cutoff, k in zip(RULES[rule][1], counts, strict=True):  # strict to lax: k falls
-            if k <= allowed * n and upper_bound(k, n, delta / looks) <= allowed:
+            if k < own:
                 out[stratum, rule] = cutoff
                 break
     return out
