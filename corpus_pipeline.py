@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from notewright.llm.decontaminate import drop_contaminated
 from notewright.llm.jaccard_join import representatives
-from notewright.llm.line_dedup import dedup_lines
+from notewright.llm.line_dedup import dedup_all_lines
 from notewright.llm.packing import pack
 from notewright.llm.quality_rules import keep_good
 from notewright.llm.store import Store, table
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their recurring lines; one that loses all its lines goes. n_chars follows the text."""
-    done = dedup_lines(docs).where("not (n_dropped > 0 and trim(regexp_replace(text, '[\\\\t-\\\\r ]+', '')) = '')")
+    done = dedup_all_lines(docs).where("not (n_dropped > 0 and trim(regexp_replace(text, '[\\\\t-\\\\r ]+', '')) = '')")
     return done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -6,18 +6,24 @@ tokens that hold a digit or an @ are variable fields and become one wildcard. Li
 with one template recur if MIN_DOCS documents have it: all of them lose it, but the
 document with the smallest id, so each recurring line is still there once.
 
-Lines of less than MIN_TOKENS tokens are too short to tell chance from copying; they
-and blank lines stay.
+For dedup_lines, lines of less than MIN_TOKENS tokens are too short to tell chance
+from copying; they and blank lines stay. dedup_all_lines lets all lines but blank ones
+take part, short ones with a higher document count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import Store, table
 
 MIN_DOCS, MIN_TOKENS, LEADING = 3, 4, 3
+#: For dedup_all_lines: a line is long by tokens or by characters, not short by either (scripts without spaces have one token a line).
+LONG_TOKENS, LONG_CHARS, LONG_DOCS = 20, 120, MIN_DOCS
+SHORT_CHARS, SHORT_DOCS = 20, 5
 
 _LONG_ENOUGH = "^" + "[^ ]+ " * (MIN_TOKENS - 1) + "[^ ]"
 
@@ -26,11 +32,14 @@ def _each(column: Column, f) -> Column:
     return F.transform(column, f)
 
 
+def _tidy(text: Column) -> Column:
+    lines = F.split(text, "\n")
+    return _each(lines, lambda x: F.when(x.rlike("[\\t\\x0B\\f\\r]|  |^ | $"), F.trim(F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " "))).otherwise(x))
+
+
 def line_templates(text: Column) -> Column:
     """Of each line of a text, its template; null where a line takes no part."""
-    lines = F.split(text, "\n")
-    tidy = _each(lines, lambda x: F.when(x.rlike("[\\t\\x0B\\f\\r]|  |^ | $"), F.trim(F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " "))).otherwise(x))
-    return _each(tidy, lambda x: F.when(x.rlike(_LONG_ENOUGH), F.when(x.rlike("[0-9@]"), F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>")).otherwise(x)))
+    return _each(_tidy(text), lambda x: F.when(x.rlike(_LONG_ENOUGH), F.when(x.rlike("[0-9@]"), F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>")).otherwise(x)))
 
 
 def _keys(text: Column) -> Column:
@@ -38,6 +47,22 @@ def _keys(text: Column) -> Column:
     return _each(line_templates(text), lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
 
 
+def _less(x: Column, part: str) -> Column:
+    return F.length(x) - F.length(F.replace(x, F.lit(part), F.lit("")))
+
+
+def whole_templates(text: Column) -> Column:
+    """Of each line of a text, its template, or itself where it is short; null for blank lines."""
+    return _each(_tidy(text), lambda x: F.when(x.rlike(_LONG_ENOUGH) & x.rlike("[0-9@]"), F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>")).when(x != "", x))
+
+
+def _whole_keys(text: Column) -> Column:
+    """Keys of whole_templates, whose last two bits tell short (0), middle (1) and long (2) lines."""
+    tokens = lambda x: _less(x, " ") + 1
+    kind = lambda x: F.when((tokens(x) >= LONG_TOKENS) | (F.length(x) >= LONG_CHARS), 2).when((tokens(x) >= MIN_TOKENS) | (F.length(x) >= SHORT_CHARS), 1).otherwise(0)
+    return _each(whole_templates(text), lambda x: F.when(x.isNotNull(), F.shiftleft(F.xxhash64(x), 2) + kind(x)))
+
+
 def template_tree(docs: DataFrame) -> DataFrame:
     """(n_tokens, leading, template, n_docs, first_doc) of every template of `docs`: a node for each count and leading tokens, and its leaf's templates."""
     per = docs.select("doc_id", F.explode(F.array_distinct(line_templates(F.col("text")))).alias("template")).where("template is not null").distinct()
@@ -53,14 +78,28 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, store: Store | None =
     are one document, rows without doc_id are one that comes after all others. A line
     that comes several times in the first document stays there as often.
     """
+    return _dedup(docs, _keys, F.lit(min_docs), store)
+
+
+def dedup_all_lines(docs: DataFrame, store: Store | None = None) -> DataFrame:
+    """dedup_lines in which all lines but blank ones take part.
+
+    The first document alone keeps a line that stands in LONG_DOCS documents or more if
+    the line is long, in MIN_DOCS otherwise, or in SHORT_DOCS if it is short.
+    """
+    kind = F.col("line").bitwiseAND(F.lit(3))
+    return _dedup(docs, _whole_keys, F.when(kind == 2, LONG_DOCS).when(kind == 1, MIN_DOCS).otherwise(SHORT_DOCS), store)
+
+
+def _dedup(docs: DataFrame, keys: Callable[[Column], Column], enough: Column, store: Store | None) -> DataFrame:
     store = store or Store(docs.sparkSession, "lines")
-    per = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(_keys(F.col("text")))).alias("line")).where("line is not null")
+    per = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(keys(F.col("text")))).alias("line")).where("line is not null")
     per = store.keep(per.groupBy("line", "doc").agg(F.lit(1).alias("one")).select("line", "doc"), "lines")
-    often = per.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= min_docs).select("line", "first")
+    often = per.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= enough).select("line", "first")
     dropped = per.join(often, "line").where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy("doc").agg(F.collect_list("line").alias("__dropped"))
     both = docs.drop("n_lines", "n_dropped").join(dropped, F.col("doc_id").eqNullSafe(F.col("doc")), "left").drop("doc")
     lines = F.split("text", "\n")
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), _keys(F.col("text")).alias("key")), lambda x: F.coalesce(~F.array_contains(F.col("__dropped"), x["key"]), F.lit(True))), lambda x: x["line"])
+    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), keys(F.col("text")).alias("key")), lambda x: F.coalesce(~F.array_contains(F.col("__dropped"), x["key"]), F.lit(True))), lambda x: x["line"])
     kept = F.when(F.col("__dropped").isNotNull(), kept).otherwise(lines)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     both = both.select(*names, F.coalesce(F.size(lines), F.lit(0)).alias("__n"), kept.alias("__kept"))
@@ -69,7 +108,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, store: Store | None =
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _digests(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(dedup_all_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _digests(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -84,3 +130,14 @@ TEMPLATE_SQL = f"""
   per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY r)"""
 OP3_SQL = f"""WITH {TEMPLATE_SQL.format(docs="documents")}
 SELECT c.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(p.kept, '')) AS kept_sha256 FROM cut c LEFT JOIN per p ON c.r = p.r"""
+OP3_WHOLE_SQL = f"""WITH
+  cut AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
+  line AS (SELECT r, doc_id, unnest(range(len(l))) AS pos, unnest(l) AS x FROM cut),
+  tidy AS (SELECT *, trim(regexp_replace(x, '{_SPACES}', ' ', 'g'), ' ') AS y FROM line),
+  masked AS (SELECT *, regexp_replace(y, '[^ ]*[0-9@][^ ]*', '<*>', 'g') AS z, len(string_split(y, ' ')) AS n FROM tidy),
+  keyed AS (SELECT r, doc_id, pos, x, n, CASE WHEN n >= {MIN_TOKENS} THEN z WHEN y <> '' THEN y END AS k FROM masked),
+  often AS (SELECT k, min(doc_id) AS first FROM keyed WHERE k IS NOT NULL GROUP BY k
+    HAVING count(DISTINCT coalesce(cast(doc_id AS VARCHAR), '-')) >= CASE WHEN min(n) >= {LONG_TOKENS} OR length(k) >= {LONG_CHARS} THEN {LONG_DOCS} WHEN min(n) >= {MIN_TOKENS} OR length(k) >= {SHORT_CHARS} THEN {MIN_DOCS} ELSE {SHORT_DOCS} END),
+  marked AS (SELECT e.*, o.k IS NOT NULL AND e.doc_id IS DISTINCT FROM o.first AS gone FROM keyed e LEFT JOIN often o ON e.k = o.k),
+  per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY r)
+SELECT c.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(p.kept, '')) AS kept_sha256 FROM cut c LEFT JOIN per p ON c.r = p.r"""

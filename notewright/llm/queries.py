@@ -7,7 +7,7 @@ from .chat_format import op5_chat_format
 from .decontaminate import op2_decontaminate
 from .jaccard_join import op1_ngram_jaccard
 from .lattice_lm import op4_lattice_lm
-from .line_dedup import OP3_SQL, op3_line_dedup
+from .line_dedup import OP3_SQL, OP3_WHOLE_SQL, op3_line_dedup, op3_line_dedup_whole
 from .packing import op9_pack
 from .quality_rules import op6_quality_rules
 from .suffix_dedup import op8_suffix_dedup
@@ -17,6 +17,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup_whole": op3_line_dedup_whole,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_pack": op9_pack,
     "op10_byte_cnn": op10_byte_cnn,
 }
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_warc": OP7_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op3_line_dedup_whole": OP3_WHOLE_SQL, "op7_warc": OP7_SQL}
