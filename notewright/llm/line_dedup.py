@@ -8,7 +8,8 @@ document with the smallest id, so each recurring line is still there once.
 
 For dedup_lines, lines of less than MIN_TOKENS tokens are too short to tell chance
 from copying; they and blank lines stay. dedup_all_lines lets all lines but blank ones
-take part, short ones with a higher document count.
+take part: a long line recurs in its second document, a short one only in more
+documents.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .store import Store, table
 
 MIN_DOCS, MIN_TOKENS, LEADING = 3, 4, 3
 #: For dedup_all_lines: a line is long by tokens or by characters, not short by either (scripts without spaces have one token a line).
-LONG_TOKENS, LONG_CHARS, LONG_DOCS = 20, 120, MIN_DOCS
+LONG_TOKENS, LONG_CHARS, LONG_DOCS = 20, 120, 2
 SHORT_CHARS, SHORT_DOCS = 20, 5
 
 _LONG_ENOUGH = "^" + "[^ ]+ " * (MIN_TOKENS - 1) + "[^ ]"
