@@ -9,7 +9,7 @@ document with the smallest id, so each recurring line is still there once.
 For dedup_lines, lines of less than MIN_TOKENS tokens are too short to tell chance
 from copying; they and blank lines stay. dedup_all_lines lets all lines but blank ones
 take part: a long line recurs in its second document, a short one only in more
-documents.
+documents, and fields are variable only where most of the line is constant.
 """
 
 from __future__ import annotations
@@ -53,8 +53,12 @@ def _less(x: Column, part: str) -> Column:
 
 
 def whole_templates(text: Column) -> Column:
-    """Of each line of a text, its template, or itself where it is short; null for blank lines."""
-    return _each(_tidy(text), lambda x: F.when(x.rlike(_LONG_ENOUGH) & x.rlike("[0-9@]"), F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>")).when(x != "", x))
+    """Of each line of a text, its template, or itself where it is short or less than half constant; null for blank lines."""
+
+    def constant(x: Column, masked: Column) -> Column:
+        return F.when(2 * _less(masked, "<*>") <= 3 * (_less(masked, " ") + 1), masked).otherwise(x)
+
+    return _each(_tidy(text), lambda x: F.when(x.rlike(_LONG_ENOUGH) & x.rlike("[0-9@]"), constant(x, F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>"))).when(x != "", x))
 
 
 def _whole_keys(text: Column) -> Column:
@@ -136,7 +140,7 @@ OP3_WHOLE_SQL = f"""WITH
   line AS (SELECT r, doc_id, unnest(range(len(l))) AS pos, unnest(l) AS x FROM cut),
   tidy AS (SELECT *, trim(regexp_replace(x, '{_SPACES}', ' ', 'g'), ' ') AS y FROM line),
   masked AS (SELECT *, regexp_replace(y, '[^ ]*[0-9@][^ ]*', '<*>', 'g') AS z, len(string_split(y, ' ')) AS n FROM tidy),
-  keyed AS (SELECT r, doc_id, pos, x, n, CASE WHEN n >= {MIN_TOKENS} THEN z WHEN y <> '' THEN y END AS k FROM masked),
+  keyed AS (SELECT r, doc_id, pos, x, n, CASE WHEN n >= {MIN_TOKENS} AND 2 * len(list_filter(string_split(z, '<*>'), lambda a, i: i > 1)) <= n THEN z WHEN y <> '' THEN y END AS k FROM masked),
   often AS (SELECT k, min(doc_id) AS first FROM keyed WHERE k IS NOT NULL GROUP BY k
     HAVING count(DISTINCT coalesce(cast(doc_id AS VARCHAR), '-')) >= CASE WHEN min(n) >= {LONG_TOKENS} OR length(k) >= {LONG_CHARS} THEN {LONG_DOCS} WHEN min(n) >= {MIN_TOKENS} OR length(k) >= {SHORT_CHARS} THEN {MIN_DOCS} ELSE {SHORT_DOCS} END),
   marked AS (SELECT e.*, o.k IS NOT NULL AND e.doc_id IS DISTINCT FROM o.first AS gone FROM keyed e LEFT JOIN often o ON e.k = o.k),
