@@ -44,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("decontaminate", decontaminate), ("packing", packing)]
 
-#: The cutoffs of the first stage and the sequences of the last have no SQL form; tests compare the stages with brute force.
+#: The cutoffs of the first stage and the sequences of the last have no SQL form; tests/llm/test_pipeline_model.py compares each stage and run() with plain Python.
 ORACLE_SQL = None
 
 
