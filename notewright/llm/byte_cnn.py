@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import column_bytes, slices
-from .store import arrow_rows, table
+from .store import arrow_rows, lean, table
 
 CHUNK, STRIDE, EMBED, FILTERS = 16, 8, 8, 32
 FOLDS = 5
@@ -160,7 +160,7 @@ def score_quality(docs: DataFrame, net: ByteCnn, threshold: float = THRESHOLD) -
             score = own.score(*column_bytes(batch["text"]))
             yield arrow_rows(schema, doc_id=batch["doc_id"], held_out=[held_out(i) for i in batch["doc_id"].to_pylist()], score=score, predicted=(score >= threshold).astype(np.int32))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .store import arrow_rows, table
+from .store import arrow_rows, lean, table
 
 WINDOW = 10
 #: An automaton holds about so many windows and words; further items go to further automata, loaded one at a time.
@@ -124,7 +124,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW)
                 spans=[_spans(texts[i].as_py(), got[i][1]) if n else [] for i, n in enumerate(hits)],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCAN_DDL)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), SCAN_DDL)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -136,7 +136,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
         for batch in batches:
             yield batch.filter(pa.array([not h.any() for _, h, _ in scan(batch["text"])], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER
-from .store import Store, arrow_rows, partitions, table
+from .store import Store, arrow_rows, lean, partitions, table
 from .word_bpe import ABSENT, HashIndex
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -213,7 +213,7 @@ def _fit(words: DataFrame, path: str, rounds: int) -> tuple[np.ndarray, float]:
             yield arrow_rows(pa.schema([("piece", pa.int32()), ("uses", pa.float64())]), piece=used.astype(np.int32), uses=total[used])
 
         uses = np.zeros(len(logp))
-        for piece, x in seen.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses")).collect():
+        for piece, x in seen.mapInArrow(lean(run), "piece int, uses double").groupBy("piece").agg(F.sum("uses")).collect():
             uses[piece] = x
         uses += SMOOTHING
         total = uses.sum() + ends + 1
@@ -262,7 +262,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
         number = F.when(F.col("name").eqNullSafe(name), i).otherwise(number)
     docs = docs.select("doc_id", "text", number.alias("class"))
     counts = [F.sum(F.when(F.col("class") == i, F.col("c")).otherwise(0)) for i in range(len(names) + 1)]
-    words = docs.mapInArrow(_count_words, "word binary, class int, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.array(*counts).alias("by"))
+    words = docs.mapInArrow(lean(_count_words), "word binary, class int, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.array(*counts).alias("by"))
     words = store.keep(words, "words")
     ends = words.where("word = X''").select("c", "by").first() or (0, [0] * len(counts))
     cells = [[F.sum(F.col("by")[i]), F.count_if(F.col("by")[i] > 0), F.count_if(F.col("by")[i] == 1), F.count_if(F.col("by")[i] == 2)] for i in range(len(counts))]
@@ -282,7 +282,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
             count = np.array(batch["by"].to_pylist(), float).reshape(len(own), -1)[:, used]
             yield arrow_rows(schema, word=batch["word"], c=batch["c"], n=batch["n"], logp=own, by=list(classes.logs(count, own)))
 
-    scored = store.keep(words.where("word <> X''").repartition(max(partitions(spark), 2)).mapInArrow(score_words, "word binary, c long, n long, logp double, by array<double>"), "scored")
+    scored = store.keep(words.where("word <> X''").repartition(max(partitions(spark), 2)).mapInArrow(lean(score_words), "word binary, c long, n long, logp double, by array<double>"), "scored")
     top = scored.where(f"octet_length(word) <= {HEAD_BYTES}").orderBy(F.desc("n"), "word").limit(head).drop("n").toArrow()
     common = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy(), top["logp"].to_numpy(), np.array(top["by"].to_pylist(), float).reshape(top.num_rows, len(used))))
     floor = float(np.log10(total + kinds + 1))
@@ -316,7 +316,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
                 row += hi - lo
                 lo = hi
 
-    found = store.keep(docs.select("doc_id", "text").mapInArrow(score_docs, "row long, doc_id long, n_tokens long, n_known long, base double, lattice double, by array<double>, word binary"), "found")
+    found = store.keep(docs.select("doc_id", "text").mapInArrow(lean(score_docs), "row long, doc_id long, n_tokens long, n_known long, base double, lattice double, by array<double>, word binary"), "found")
     times = F.col("k")
     more = found.where("word is not null").select("row", F.col("n_tokens").alias("k"), "word").join(scored.select("word", "c", "logp", "by"), "word")
     more = more.groupBy("row").agg(

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import WHITE, Words, column_bytes, slices, window_hashes
-from .store import Store, arrow_rows, table
+from .store import Store, arrow_rows, lean, table
 
 #: Share of good documents of a stratum that all rules together may reject, and the chance that this fails.
 ALPHA, DELTA = 0.02, 0.05
 BASE_WORDS, BASE_REPEAT = 50, 50
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -135,7 +135,7 @@ def _stats_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield arrow_rows(schema, doc_id=batch["doc_id"], lang=batch["lang"], **text_stats(batch["text"]))
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "text").mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in STATS))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "text").mapInArrow(lean(run), "doc_id long, lang string, " + ", ".join(f"{k} long" for k in STATS))
 
 
 BASE_FAILED = f"(n_words < {BASE_WORDS} or 100 * n_repeat_words > {BASE_REPEAT} * n_words)"
@@ -196,12 +196,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
             n = np.maximum(s["n_words"], 1)
             value = {"symbols": s["n_symbols"] / n, "repeats": s["n_repeat_words"] / n, "dup_lines": s["n_dup_lines"] / np.maximum(s["n_lines"], 1), "long_words": s["word_chars"] / n, "short_words": s["n_words"] / np.maximum(s["word_chars"], 1), "short_text": 1.0 / n}
             bad = (s["n_words"] < BASE_WORDS) | (100 * s["n_repeat_words"] > BASE_REPEAT * s["n_words"])
-            lang = np.array([x or "" for x in batch["lang"].to_pylist()], object)
+            lang = np.array(batch["lang"].cast(pa.string()).to_pylist(), object)  # null is no stratum, "" is one
             for (stratum, rule), cutoff in cutoffs.items():
                 bad |= (lang == stratum) & (value[rule] > cutoff)
             yield batch.filter(pa.array(~bad))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

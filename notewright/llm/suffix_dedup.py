@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import U64, column_bytes, mix
-from .store import Store, arrow_rows, bloom_joins, partitions, table
+from .store import Store, arrow_rows, bloom_joins, lean, partitions, table
 
 SPAN, GRAM = 200, 32
 SEGMENT = 1 << 19
@@ -263,14 +263,14 @@ def repeated_spans(docs: DataFrame, store: Store) -> DataFrame:
     spark = docs.sparkSession
     mass = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(partitions(spark), -(-int(mass) // BUCKET_BYTES))
-    scan = store.keep(docs.mapInArrow(_scan(4 * parts), _SPANS_DDL), "scan")
-    met = store.keep(scan.where("bucket is not null").repartition(parts, "bucket").mapInArrow(_meet, _SPANS_DDL), "met")
+    scan = store.keep(docs.mapInArrow(lean(_scan(4 * parts)), _SPANS_DDL), "scan")
+    met = store.keep(scan.where("bucket is not null").repartition(parts, "bucket").mapInArrow(lean(_meet), _SPANS_DDL), "met")
     open_ = met.where("anchor is not null").groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "end", "content")).alias("wanted"))
     open_ = store.keep(open_, "open").where("size(wanted) > 0")
     with bloom_joins(spark):
-        cut = docs.where("text is not null").join(open_, "key").mapInArrow(_cut, "key long, anchor long, start long, count long, data binary")
+        cut = docs.where("text is not null").join(open_, "key").mapInArrow(lean(_cut), "key long, anchor long, start long, count long, data binary")
         dealt = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "key", "start")
-        fine = store.keep(dealt.mapInArrow(_compare, _SPANS_DDL), "compared")
+        fine = store.keep(dealt.mapInArrow(lean(_compare), _SPANS_DDL), "compared")
     all_ = scan.where("bucket is null").select("key", "start", "end").unionAll(met.where("anchor is null").select("key", "start", "end")).unionAll(fine.select("key", "start", "end"))
     return all_.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -303,7 +303,7 @@ def dedup_bytes(docs: DataFrame, store: Store | None = None) -> DataFrame:
             for lo in range(0, len(out), 2000):
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out[lo : lo + 2000], strict=True), strict=True)))
 
-    return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

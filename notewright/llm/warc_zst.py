@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Store, arrow_rows, partitions, table
+from .store import Store, arrow_rows, lean, partitions, table
 
 SKIPPABLE = 0x184D2A5D
 #: Bytes of records in an archive (a larger record stands alone), and of its dictionary.
@@ -136,7 +136,7 @@ def _writer(folder: str, date: str):
 
 def write_archives(pages: DataFrame, folder: str, date: str = _DATE) -> DataFrame:
     """(path, records, bytes) of the archives that hold a record for each row of `pages` (page_id, url, html), written below the URI `folder` when it is evaluated."""
-    return plan_records(pages).mapInArrow(_writer(folder, date), "path string, records long, bytes long")
+    return plan_records(pages).mapInArrow(lean(_writer(folder, date)), "path string, records long, bytes long")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -164,7 +164,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
 
     parts = max(partitions(manifest.sparkSession), 2)
-    return manifest.select("path").repartition(parts, "path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return manifest.select("path").repartition(parts, "path").mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive_pages(pages: DataFrame, store: Store | None = None) -> DataFrame:

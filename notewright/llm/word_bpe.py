@@ -3,8 +3,9 @@
 Ids equal those of the `tokenizers` library. Texts are cut at ASCII white space,
 which this kind of tokenizer drops anyway; each distinct word of a task is encoded
 once, all new words together in numpy, and ids of texts are gathered from those.
-Words with characters whose normal form or lower case needs more than a table look-up
-go to the library itself.
+Words with characters whose normal form or lower case needs more than a table look-up,
+and words that hold an added token such as <|endoftext|>, which the library takes for
+that token, go to the library itself.
 """
 
 from __future__ import annotations
@@ -66,8 +67,10 @@ class HashIndex:
 class WordBpe:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # The library cuts texts at these before anything else, even within a word.
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", ())]
         model = spec["model"]
         if model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix"):
             raise ValueError("only BPE files whose words end in </w> are known")
@@ -144,8 +147,11 @@ class WordBpe:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids flat, number of ids of each word); a word has no ASCII white space."""
         text = b" ".join(words).decode() + " "
-        if not self._plain.fullmatch(text):
+        marked = any(a.decode() in text for a in self.added)
+        if marked or not self._plain.fullmatch(text):
             plain = np.fromiter((w.isascii() or bool(self._plain.fullmatch(w.decode())) for w in words), bool, len(words))
+            if marked:
+                plain &= np.fromiter((not any(a in w for a in self.added) for w in words), bool, len(words))
             size, parts = np.zeros(len(words), np.int64), []
             for mask, encode in ((plain, self._plain_words), (~plain, lambda t: self._by_library(t[:-1].split(" ")))):
                 if mask.any():
@@ -175,7 +181,7 @@ class WordBpe:
 class WordCache:
     """Ids of whole texts, with the words seen so far; starts anew beyond `most` words, which bounds its memory."""
 
-    def __init__(self, bpe: WordBpe, most: int = 800_000):
+    def __init__(self, bpe: WordBpe, most: int = 250_000):
         self.bpe, self.most = bpe, most
         self._clear()
 
