@@ -164,5 +164,6 @@ def score_quality(docs: DataFrame, net: ByteCnn, threshold: float = THRESHOLD) -
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_quality of all documents by a network that train() fits."""
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -2,8 +2,9 @@
 
 A template is parsed into a syntax tree, constants are folded, and the tree becomes
 nested Python closures; no code is evaluated and a template reaches nothing but the
-names it is given. Rendering yields a conversation piece by piece, so a conversation
-of any length takes the memory of its longest turn.
+names it is given. A template renders a whole conversation, whose turns it takes one by
+one and gives out piece by piece, so a conversation of any length takes the memory of its
+longest turn; it can loop over the turns once.
 
 Language: text; ``{{ expression }}``; ``{% if e %} {% elif e %} {% else %} {% endif %}``;
 ``{% for name in e %} {% endfor %}`` (with loop.first and loop.index0);
@@ -17,12 +18,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import arrow_rows, partitions, table
+from .store import arrow_rows, lean, partitions, table
 
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[+().|]))")
 _ESCAPES = {"n": "\n", "t": "\t"}
@@ -139,7 +141,24 @@ class _Expression:
         return e
 
 
-_BINARY = {"+": lambda a, b: a + b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
+def _checked(what: str, f: Callable) -> Callable:
+    """f, whose errors on values of a wrong type are the template's."""
+
+    def run(*values):
+        try:
+            return f(*values)
+        except (TypeError, AttributeError) as e:
+            raise TemplateError(f"{what} of {' and '.join(type(v).__name__ for v in values)}") from e
+
+    return run
+
+
+_BINARY = {"+": _checked("+", lambda a, b: a + b), "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
+
+
+def _filter(name: str) -> Callable:
+    """A filter; none is the empty text to it."""
+    return _checked(name, lambda v: FILTERS[name]("" if v is None else v))
 
 
 def _fold(e):
@@ -151,7 +170,7 @@ def _fold(e):
         return ("get", _fold(e[1]), e[2])
     if kind == "call":
         a = _fold(e[2])
-        return ("const", FILTERS[e[1]](a[1])) if a[0] == "const" else ("call", e[1], a)
+        return ("const", _filter(e[1])(a[1])) if a[0] == "const" else ("call", e[1], a)
     if kind == "not":
         a = _fold(e[1])
         return ("const", not a[1]) if a[0] == "const" else ("not", a)
@@ -173,7 +192,7 @@ def _closure(e) -> Callable[[dict], object]:
     if kind == "get":  # keys of mappings alone, never attributes of objects
         return lambda env, a=_closure(e[1]), n=e[2]: x.get(n) if isinstance(x := a(env), dict) else None
     if kind == "call":
-        return lambda env, f=FILTERS[e[1]], a=_closure(e[2]): f(a(env))
+        return lambda env, f=_filter(e[1]), a=_closure(e[2]): f(a(env))
     if kind == "not":
         return lambda env, a=_closure(e[1]): not a(env)
     a, b = _closure(e[2]), _closure(e[3])
@@ -357,27 +376,33 @@ _SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 DIGEST_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-class _Digest:
-    """One conversation: formatted turn by turn, read back at once."""
+def _digest(conv: int | None, pieces: Iterable[tuple[str, bool]]) -> tuple:
+    """A row of one conversation, read back from its pieces as they come."""
+    reader, turns, loss, n, loss_chars, chars = Reader(), hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+    for piece, masked in chain(pieces, (("", False),)):
+        chars += len(piece)
+        if masked:
+            plain = unescape(piece)
+            loss_chars += len(plain)
+            loss.update(plain.encode())
+        for role, text in reader.feed(piece):
+            n += 1
+            turns.update(f"{role}\n{text}\n".encode())
+    list(reader.feed("", last=True))
+    return conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
 
-    def __init__(self, conv: int | None, template: Template):
-        self.conv, self.template, self.reader = conv, template, Reader()
-        self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
 
-    def add(self, role: str, text: str) -> None:
-        for piece, masked in self.template.pieces([{"role": role, "text": text}]):
-            self.chars += len(piece)
-            if masked:
-                plain = unescape(piece)
-                self.loss_chars += len(plain)
-                self.loss.update(plain.encode())
-            for got_role, got in self.reader.feed(piece):
-                self.n += 1
-                self.turns.update(f"{got_role}\n{got}\n".encode())
+def _conversations(batches) -> Iterator[tuple[int | None, Iterator[dict]]]:
+    """(conv_id, its turns, read lazily) of rows in order."""
+    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True))
+    for conv, own in groupby(rows, key=lambda r: r[0]):
+        yield conv, ({"role": role, "text": text} for _, role, text in own)
 
-    def row(self) -> tuple:
-        list(self.reader.feed("", last=True))
-        return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+def _tables(schema: pa.Schema, rows: Iterable[tuple], many: int = 2000) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(islice(rows, many)):
+        yield arrow_rows(schema, **dict(zip(schema.names, zip(*part, strict=True), strict=True)))
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -396,44 +421,48 @@ def format_digests(rows: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFra
     """
 
     def run(batches):
-        compiled, now, first = Template(template), None, True
-        for batch in batches:
-            out = []
-            for conv, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if first or conv != now.conv:
-                    if not first:
-                        out.append(now.row())
-                    now, first = _Digest(conv, compiled), False
-                now.add(role, text)
-            if out:
-                yield arrow_rows(_SCHEMA, **dict(zip(_SCHEMA.names, zip(*out, strict=True), strict=True)))
-        if not first:
-            yield arrow_rows(_SCHEMA, **dict(zip(_SCHEMA.names, zip(now.row(), strict=True), strict=True)))
-
-    return _in_order(rows).mapInArrow(run, DIGEST_DDL)
+        compiled = Template(template)
+        yield from _tables(_SCHEMA, (_digest(conv, compiled.pieces(turns)) for conv, turns in _conversations(batches)))
+
+    return _in_order(rows).mapInArrow(lean(run), DIGEST_DDL)
 
 
 def format_conversations(rows: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
-    """(conv_id, part, text, loss_spans) of each turn's share of the formatted conversation; parts in order, joined, are the whole text."""
+    """(conv_id, part, text, loss_spans) of the formatted conversations; a conversation's parts in order, joined, are its whole text.
+
+    A part is what a template says from taking one turn to taking the next, so no task
+    holds a whole conversation. loss_spans are code points of the whole text.
+    """
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
+    def parts(compiled: Template, conv: int | None, turns: Iterator[dict]) -> Iterator[tuple]:
+        taken, now, at, out, spans = 0, 0, 0, [], []
+
+        def counted():
+            nonlocal taken
+            for turn in turns:
+                taken += 1
+                yield turn
+
+        for piece, masked in compiled.pieces(counted()):
+            if max(taken - 1, 0) != now:
+                yield conv, now, "".join(out), spans
+                now, out, spans = taken - 1, [], []
+            if masked and piece:
+                spans.append({"start": at, "end": at + len(piece)})
+            out.append(piece)
+            at += len(piece)
+        yield conv, now, "".join(out), spans
+
     def run(batches):
-        compiled, last, n, at = Template(template), object(), 0, 0
-        for batch in batches:
-            out = []
-            for conv, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                n, at = (n + 1, at) if conv == last else (0, 0)
-                last = conv
-                s, spans = compiled.render([{"role": role, "text": text}])
-                out.append((conv, n, s, [{"start": a + at, "end": b + at} for a, b in spans]))
-                at += len(s)
-            if out:
-                yield arrow_rows(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+        compiled = Template(template)
+        yield from _tables(schema, (row for conv, turns in _conversations(batches) for row in parts(compiled, conv, turns)), 500)
 
-    return _in_order(rows).mapInArrow(run, "conv_id long, part long, text string, loss_spans array<struct<start:long,end:long>>")
+    return _in_order(rows).mapInArrow(lean(run), "conv_id long, part long, text string, loss_spans array<struct<start:long,end:long>>")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """format_digests of all conversations and of conversation -1, whose texts hold control strings."""
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")

@@ -140,4 +140,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_contamination of all documents by all benchmark items."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")

@@ -283,7 +283,15 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
             yield arrow_rows(schema, word=batch["word"], c=batch["c"], n=batch["n"], logp=own, by=list(classes.logs(count, own)))
 
     scored = store.keep(words.where("word <> X''").repartition(max(partitions(spark), 2)).mapInArrow(lean(score_words), "word binary, c long, n long, logp double, by array<double>"), "scored")
-    top = scored.where(f"octet_length(word) <= {HEAD_BYTES}").orderBy(F.desc("n"), "word").limit(head).drop("n").toArrow()
+    # Words above a count, so that `head` of them come to the driver at most: the count follows from a histogram of some hundred classes.
+    able = scored.where(f"octet_length(word) <= {HEAD_BYTES}").withColumn("class", F.floor(32 * F.log2("n")))
+    least, many = None, 0
+    for kind, n in sorted(able.groupBy("class").count().collect(), reverse=True):
+        many += n
+        if many > head:
+            break
+        least = kind
+    top = able.where(F.lit(False) if least is None else F.col("class") >= least).drop("n", "class").toArrow()
     common = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy(), top["logp"].to_numpy(), np.array(top["by"].to_pylist(), float).reshape(top.num_rows, len(used))))
     floor = float(np.log10(total + kinds + 1))
     end_base, end_log, end_known, k = float(np.log10(ends[0] + 1)) - floor, end / np.log(10), int(ends[0] > 0), len(used)
@@ -332,4 +340,5 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_texts of all documents."""
     return score_texts(table(spark, sf_dir, "documents"))

@@ -113,10 +113,12 @@ def _dedup(docs: DataFrame, keys: Callable[[Column], Column], enough: Column, st
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of dedup_lines over all documents."""
     return _digests(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of dedup_all_lines over all documents."""
     return _digests(dedup_all_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 

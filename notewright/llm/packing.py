@@ -268,4 +268,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack of all documents."""
     return pack(table(spark, sf_dir, "documents"))

@@ -205,4 +205,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_rules of all documents by all labels."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -307,4 +307,5 @@ def dedup_bytes(docs: DataFrame, store: Store | None = None) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_bytes of all documents, without the bytes kept."""
     return dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")

@@ -180,6 +180,7 @@ def archive_pages(pages: DataFrame, store: Store | None = None) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archive_pages of all pages, without urls and payloads."""
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,9 +1,10 @@
 """Added tokens of the tokenizer, verdicts of rows without language."""
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from notewright.llm import packing, quality_rules, word_bpe
+from notewright.llm import chat_format, packing, quality_rules, word_bpe
 
 
 def test_added_tokens_are_the_librarys():
@@ -22,3 +23,23 @@ def test_filter_and_query_agree_on_null_languages(spark, monkeypatch):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     kept = sorted(r.doc_id for r in quality_rules.quality_rules(docs, labels).where("kept").collect())
     assert kept == sorted(r.doc_id for r in quality_rules.keep_good(docs, labels).collect()) == [1, 4]
+
+
+def test_a_template_sees_the_whole_conversation(spark):
+    source = "{% for m in messages %}{% if loop.first %}A{% endif %}{{ loop.index0 }}{% generation %}{{ m.text }}{% endgeneration %}{% endfor %}Z"
+    rows = spark.createDataFrame([(1, 1, "user", "p"), (1, 2, "x", "qq"), (2, 1, "user", None), (None, 1, "a", "n")], "conv_id long, turn long, role string, text string")
+    by = {}
+    for r in sorted(chat_format.format_conversations(rows, source).collect(), key=lambda r: (str(r.conv_id), r.part)):
+        text, spans = by.setdefault(r.conv_id, ["", []])
+        by[r.conv_id][0] += r.text
+        spans += [(s.start, s.end) for s in r.loss_spans]
+    assert by == {1: ["A0p1qqZ", [(2, 3), (4, 6)]], 2: ["A0Z", []], None: ["A0nZ", [(2, 3)]]}
+
+
+def test_wrong_types_are_the_templates_errors():
+    for source in ("{{ 'a' + 1 }}", "{{ 1 | upper }}"):
+        with pytest.raises(chat_format.TemplateError):
+            chat_format.Template(source)
+    with pytest.raises(chat_format.TemplateError):
+        chat_format.Template("{{ x + 1 }}").render([], x="a")
+    assert chat_format.Template("{{ x | length }}{{ x | upper }}").render([])[0] == "0"
