@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,6 +119,28 @@ def png_size(data: Column) -> Column:
     return F.struct(F.when(png, at(17)).alias("w"), F.when(png, at(21)).alias("h"))
 
 
+def jpeg_dimensions(raw: bytes) -> tuple[int, int] | None:
+    """(width, height) from a JPEG's frame header; None for other data or without one."""
+    at = 2
+    while raw[:2] == b"\xff\xd8" and at + 9 <= len(raw) and raw[at] == 0xFF:
+        if raw[at + 1] in (0xC0, 0xC1, 0xC2):
+            height, width = struct.unpack_from(">HH", raw, at + 5)
+            return width, height
+        at += 2 + struct.unpack_from(">H", raw, at + 2)[0]
+    return None
+
+
+def jpeg_size(data: Column) -> Column:
+    """struct<w, h> of JPEG data; nulls for other data."""
+
+    @F.pandas_udf("w long, h long")
+    def size(column: pd.Series) -> pd.DataFrame:
+        found = [(raw is not None and jpeg_dimensions(bytes(raw))) or (None, None) for raw in column]
+        return pd.DataFrame(found, columns=["w", "h"]).astype("Int64")
+
+    return size(data)
+
+
 def probe_verdict(status: Column, content_type: Column, size: Column, is_image: Column) -> Column:
     """Whether a probed URL is fine: status 200, an image where one is expected, not empty (-1: size unknown)."""
     return F.coalesce((status == 200) & (~is_image | F.startswith(F.coalesce(content_type, F.lit("")), F.lit("image/"))) & (size != 0), F.lit(False))

@@ -17,6 +17,13 @@ TECH = {
 NOISE = ["get", "set", "add", "put", "run", "main", "new", "for", "map", "on", "of", "at", "to", "is", "in", "it", "by", "do", "if"]
 # Symbols that make recognised text look like code.
 CODE_SYMBOLS = "{};()=<>.:/\"'#"
+# Keywords of web pages' technologies, in order of preference, and official names.
+WEB_TECH = {
+    "flink": "Apache Flink", "spark": "Apache Spark", "kafka": "Apache Kafka", "hadoop": "Apache Hadoop", "hive": "Apache Hive", "hbase": "Apache HBase", "zookeeper": "Apache ZooKeeper", "redis": "Redis",
+    "elasticsearch": "Elasticsearch", "rabbitmq": "RabbitMQ", "nginx": "Nginx", "kubernetes": "Kubernetes", "docker": "Docker", "spring": "Spring Framework", "springboot": "Spring Boot", "spring boot": "Spring Boot",
+    "mybatis": "MyBatis", "mysql": "MySQL", "postgresql": "PostgreSQL", "dubbo": "Apache Dubbo", "pyflink": "Apache Flink", "pyspark": "Apache Spark", "claude": "Claude API", "openai": "OpenAI API",
+    "langchain": "LangChain", "vue": "Vue.js", "react": "React", "golang": "Go", "python": "Python", "java": "Java",
+}
 JVM, CONFIG = ["java", "scala", "kotlin", "groovy", ""], ["yaml", "yml", "properties", "ini", "conf", "toml"]
 
 
@@ -106,10 +113,11 @@ def frontmatter_tags(md: Column) -> Column:
     return F.coalesce(F.transform(tags, _unquote), F.array().cast("array<string>"))
 
 
-def infer_tech(*parts: Column) -> Column:
-    """Official name of the first keyword that the joined parts contain, or an empty string."""
+def infer_tech(*parts: Column, version: Column | None = None, keywords: dict[str, str] | None = None) -> Column:
+    """Official name of the first keyword that the joined parts contain, else the name before the version's number, if there is one, or an empty string."""
     text = F.lower(F.concat_ws(" ", *parts))
-    return F.coalesce(*(F.when(F.contains(text, F.lit(k)), F.lit(v)) for k, v in TECH.items()), F.lit(""))
+    name = F.lit("") if version is None else strip(F.regexp_extract(version, "\\A([A-Za-z][A-Za-z\\s]+?)\\s+\\d", 1))
+    return F.coalesce(*(F.when(F.contains(text, F.lit(k)), F.lit(v)) for k, v in (keywords or TECH).items()), name)
 
 
 def version_number(c: Column) -> Column:

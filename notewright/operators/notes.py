@@ -29,12 +29,19 @@ def note_claims(notes: DataFrame) -> DataFrame:
     version = F.coalesce(T.frontmatter_value(md, "current_version"), F.lit(""))
     title = F.coalesce(T.frontmatter_value(md, "title"), F.lit(""))
     return notes.select(
-        "note_id", title.alias("title"), T.infer_tech(title, F.array_join(T.frontmatter_tags(md), " "), version).alias("tech"), T.version_number(version).alias("note_version"),
+        "note_id", title.alias("title"), T.infer_tech(title, F.array_join(T.frontmatter_tags(md), " "), version, version=version).alias("tech"), T.version_number(version).alias("note_version"),
         T.claim_classes(body).alias("classes"), T.claim_methods(body).alias("methods"), T.claim_configs(body).alias("configs"), T.claim_imports(body).alias("imports"),
         T.versions_mentioned(body).alias("versions_mentioned"), T.deprecated_names(body).alias("deprecated"), T.code_languages(body).alias("code_languages"),
     )
 
 
+def web_tech(notes: DataFrame) -> DataFrame:
+    """(note_id, tech) of notes on web pages, by title, course and tags."""
+    md = F.col("md")
+    own = [F.coalesce(T.frontmatter_value(md, k), F.lit("")) for k in ("title", "course")]
+    return notes.select("note_id", T.infer_tech(*own, F.array_join(T.frontmatter_tags(md), " "), keywords=T.WEB_TECH).alias("tech"))
+
+
 def freshness(claims: DataFrame, api: DataFrame, kind: str = "classes") -> DataFrame:
     """(note_id, name, category) of claimed names against a current API table (name, status): valid, changed, removed, or new for names that no note has."""
     own = claims.select("note_id", F.explode(kind).alias("name"))

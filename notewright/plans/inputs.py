@@ -8,7 +8,7 @@ _NOTES = """SELECT doc_id, concat(
  '---', {NL}, 'title: "Doc ', cast(doc_id AS {STR}), '"', {NL},
  'tags: [', lang, ', ', CASE WHEN doc_id % 3 = 0 THEN 'spark' ELSE 'misc' END, ']', {NL},
  'current_version: "', CASE WHEN doc_id % 4 = 0 THEN 'Spark 4.1' ELSE '' END, '"', {NL}, '---', {NL},
- '# Doc ', cast(doc_id AS {STR}), {NL}, {NL}, substring(text, 1, 400), {NL}, {NL},
+ '# Doc ', cast(doc_id AS {STR}), {NL}, {NL}, text, {NL}, {NL},
  'v', cast(doc_id % 97 AS {STR}), ' uses Engine ', cast(doc_id % 5 AS {STR}), '.', cast(doc_id % 7 AS {STR}), ' and `Widget', cast(doc_id % 11 AS {STR}), '`', {NL},
  '项：aa', cast(doc_id % 13 AS {STR}), '、bb、cc、dd', cast(doc_id % 17 AS {STR}), '、ee。', {NL},
  CASE WHEN doc_id % 6 = 0 THEN '![i](https://img.example.org/' ELSE '[l](https://www.example.org/' END, cast(doc_id % 37 AS {STR}), ') see https://bare.example.org/', cast(doc_id % 5 AS {STR}), '.', {NL},
@@ -30,9 +30,6 @@ _SPARK = {"NL": "chr(10)", "BS": "chr(92)", "BQ": "repeat(chr(96),3)", "STR": "S
 _DUCK = _SPARK | {"STR": "VARCHAR", "LINES": "SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents)"}
 
 NOTES_SQL, SECTIONS_SQL = _NOTES.format(**_DUCK), _SECTIONS.format(**_DUCK)
-#: The same notes with each document's whole text.
-_WHOLE_NOTES = _NOTES.replace("substring(text, 1, 400)", "text")
-WHOLE_NOTES_SQL = _WHOLE_NOTES.format(**_DUCK)
 PAIRS_SQL = "SELECT doc_id, text AS source, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 4 <> 0), chr(10)) AS note FROM documents"
 
 
@@ -48,10 +45,6 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, _NOTES.format(**_SPARK)).withColumnRenamed("doc_id", "note_id")
 
 
-def whole_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, _WHOLE_NOTES.format(**_SPARK)).withColumnRenamed("doc_id", "note_id")
-
-
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, _SECTIONS.format(**_SPARK))
 

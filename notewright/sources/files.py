@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,22 @@ def join_notes(notes: DataFrame, separator: str = "\n") -> DataFrame:
 
 
 def read_binary(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return rows.where(F.lower("path").rlike("(" + "|".join("\\" + s for s in suffixes) + ")\\z"))
+    """binaryFile rows of the files below a folder that end in a suffix, in any case; others are never read."""
+    glob = "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+
+
+def read_or_errors(spark: SparkSession, paths: list[str], read) -> tuple[DataFrame, DataFrame]:
+    """(rows of all paths that can be read, errors): read(spark, path) for each path; errors (path, level, code, message) are rows, not exceptions."""
+    found, errors = None, []
+    for path in paths:
+        try:
+            rows = read(spark, path)
+        except AnalysisException as e:
+            errors.append((path, "ERROR", "IO", str(e).splitlines()[0]))
+            continue
+        found = rows if found is None else found.unionByName(rows)
+    return found if found is not None else spark.createDataFrame([], "path string"), spark.createDataFrame(errors, "path string, level string, code string, message string")
 
 
 def _mhtml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,13 +66,13 @@ def _mhtml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if kind == "text/html" and not seen:
                     seen = True
                     rows.append((path, i, kind, where, (part.get_payload(decode=True) or b"").decode("utf-8", "ignore"), None))
-                elif kind.startswith("image/"):
+                elif kind.startswith("image/") and "resource/image" in where:
                     rows.append((path, i, kind, where, None, part.get_payload(decode=True)))
         yield pd.DataFrame(rows, columns=["path", "part", "content_type", "location", "html", "content"])
 
 
 def read_mhtml(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, part, content_type, location, html, content): the first HTML part and the images of each saved page."""
+    """(path, part, content_type, location, html, content): the first HTML part and the article's own images of each saved page."""
     return read_binary(spark, folder, (".mhtml", ".mht")).select("path", "content").mapInPandas(_mhtml, "path string, part int, content_type string, location string, html string, content binary")
 
 
@@ -89,12 +104,17 @@ def docx_features(raw: bytes) -> Iterator[tuple]:
 
 def _docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(path, *x) for path, content in zip(pdf.path, pdf.content, strict=True) for x in docx_features(bytes(content))]
+        rows = []
+        for path, content in zip(pdf.path, pdf.content, strict=True):
+            try:
+                rows += [(path, *x) for x in docx_features(bytes(content))]
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError, TypeError) as e:
+                rows.append((path, -1, "error", "", f"{type(e).__name__}: {e}", 0.0, False, False, [], None, None, None, []))
         yield pd.DataFrame(rows, columns=["path", "pos", "kind", "style", "text", "max_pt", "bold", "all_bold", "fonts", "num_id", "ilvl", "rows", "images"])
 
 
 def read_docx(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw features of the paragraphs and tables of .docx files; classification is left to column functions."""
+    """Raw features of the paragraphs and tables of .docx files, for operators.sections; a file that can't be read is one row of kind error."""
     ddl = "path string, pos int, kind string, style string, text string, max_pt double, bold boolean, all_bold boolean, fonts array<string>, num_id string, ilvl string, rows array<array<string>>, images array<string>"
     return read_binary(spark, folder, (".docx",)).where(~F.col("path").rlike("\\(1\\)\\.docx\\z")).select("path", "content").mapInPandas(_docx, ddl)
 

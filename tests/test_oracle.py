@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from notewright.plans import registry
+from notewright.plans import more, registry  # noqa: F401  more adds to registry
 
 SF = "/root/testdata/sf0.001"
 

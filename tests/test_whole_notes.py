@@ -19,10 +19,9 @@ def folder(spark, tmp_path_factory):
     ("long_enumerations", "items", "用于：kk|ll|mm|nn|oo"), ("versions_mentioned", "version", "Tool 7.25"), ("claims_classes", "name", "FarClass"), ("note_urls", "url", "https://far.example.org/x"), ("table_repair", "fixes", 2), ("prose_web", "chars", None),
 ])
 def test_behind_the_prefix(spark, folder, name, column, found):
-    got = [r[column] for r in registry.QUERIES[f"{name}_whole"](spark, folder).where("note_id = 8").collect()]
+    got = [r[column] for r in registry.QUERIES[name](spark, folder).where("note_id = 8").collect()]
     assert found in got if found is not None else got[0] > 2 * 4 * 3_000
 
 
-def test_every_notes_query_has_a_whole_form():
-    assert sum(n.endswith("_whole") for n in registry.QUERIES) == 22
-    assert all("substring(text, 1, 400)" not in sql for n, sql in registry.ORACLE.items() if n.endswith("_whole"))
+def test_no_query_reads_a_prefix():
+    assert not any("substring(text, 1, 400)" in sql for sql in registry.ORACLE.values())
