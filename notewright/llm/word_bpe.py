@@ -181,7 +181,7 @@ class WordBpe:
 class WordCache:
     """Ids of whole texts, with the words seen so far; starts anew beyond `most` words, which bounds its memory."""
 
-    def __init__(self, bpe: WordBpe, most: int = 250_000):
+    def __init__(self, bpe: WordBpe, most: int = 500_000):
         self.bpe, self.most = bpe, most
         self._clear()
 
