@@ -1,30 +1,32 @@
-"""Line dedup by log templates, in DataFrame operations alone.
-
-A line's place in the template tree is its token count and its leading tokens; the
-tree's depth is fixed, so a line's leaf needs no look at other lines. At a leaf,
-tokens that hold a digit or an @ are variable fields and become one wildcard. Lines
-with one template recur if MIN_DOCS documents have it: all of them lose it, but the
-document with the smallest id, so each recurring line is still there once.
-
-For dedup_lines, lines of less than MIN_TOKENS tokens are too short to tell chance
-from copying; they and blank lines stay. dedup_all_lines lets all lines but blank ones
-take part: a long line recurs in its second document, a short one only in more
-documents, and fields are variable only where most of the line is constant.
+"""Line dedup by a log-template tree, in DataFrame operations alone.
+
+Tokens that hold a digit or an @ are variable fields at once, where at least half of the
+line is constant. The tree has a fixed depth: a line's leaf is its token count and its
+first LEADING tokens. A leaf with several lines is generalised: at each position, its
+template has the token that most documents have there, MIN_DOCS at least. A line that
+differs from that in up to a fifth of its tokens, MAX_FIELDS at most, is of the leaf's
+template, and the positions in which such lines differ are its further variable fields.
+A template recurs if MIN_DOCS documents have lines of it: all of them lose these lines,
+but the document with the smallest id. A leaf has one such template; its other lines,
+and those of leaves without one, recur as they are, fields masked: in LONG_DOCS
+documents if the line is long, in SHORT_DOCS if it is short, in MIN_DOCS otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import Store, table
 
-MIN_DOCS, MIN_TOKENS, LEADING = 3, 4, 3
-#: For dedup_all_lines: a line is long by tokens or by characters, not short by either (scripts without spaces have one token a line).
+MIN_DOCS, MIN_TOKENS = 3, 4
+#: The tree: leading tokens of a leaf, share (one in FIELD_SHARE) and number of a line's tokens that may be fields besides those masked.
+LEADING, FIELD_SHARE, MAX_FIELDS = 3, 5, 5
+#: A line is long by tokens or by characters, not short by either (scripts without spaces have one token a line).
 LONG_TOKENS, LONG_CHARS, LONG_DOCS = 20, 120, 2
 SHORT_CHARS, SHORT_DOCS = 20, 5
+#: Remainders of open leaves that are broadcast, 2^20 at most, spare other lines' text the shuffle; they do not decide anything.
+REMAINDERS = 1 << 20
 
 _LONG_ENOUGH = "^" + "[^ ]+ " * (MIN_TOKENS - 1) + "[^ ]"
 
@@ -38,113 +40,112 @@ def _tidy(text: Column) -> Column:
     return _each(lines, lambda x: F.when(x.rlike("[\\t\\x0B\\f\\r]|  |^ | $"), F.trim(F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " "))).otherwise(x))
 
 
-def line_templates(text: Column) -> Column:
-    """Of each line of a text, its template; null where a line takes no part."""
-    return _each(_tidy(text), lambda x: F.when(x.rlike(_LONG_ENOUGH), F.when(x.rlike("[0-9@]"), F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>")).otherwise(x)))
-
-
-def _keys(text: Column) -> Column:
-    """64-bit keys of the templates; a key is null where the template is."""
-    return _each(line_templates(text), lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
-
-
 def _less(x: Column, part: str) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(part), F.lit("")))
 
 
-def whole_templates(text: Column) -> Column:
-    """Of each line of a text, its template, or itself where it is short or less than half constant; null for blank lines."""
+def _tokens(x: Column) -> Column:
+    return _less(x, " ") + 1
+
+
+def masked_lines(text: Column) -> Column:
+    """Of each line of a text, the line with its fields masked, or itself where it is short or less than half constant; null for blank lines."""
 
     def constant(x: Column, masked: Column) -> Column:
-        return F.when(2 * _less(masked, "<*>") <= 3 * (_less(masked, " ") + 1), masked).otherwise(x)
+        return F.when(2 * _less(masked, "<*>") <= 3 * _tokens(masked), masked).otherwise(x)
 
     return _each(_tidy(text), lambda x: F.when(x.rlike(_LONG_ENOUGH) & x.rlike("[0-9@]"), constant(x, F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>"))).when(x != "", x))
 
 
-def _whole_keys(text: Column) -> Column:
-    """Keys of whole_templates, whose last two bits tell short (0), middle (1) and long (2) lines."""
-    tokens = lambda x: _less(x, " ") + 1
-    kind = lambda x: F.when((tokens(x) >= LONG_TOKENS) | (F.length(x) >= LONG_CHARS), 2).when((tokens(x) >= MIN_TOKENS) | (F.length(x) >= SHORT_CHARS), 1).otherwise(0)
-    return _each(whole_templates(text), lambda x: F.when(x.isNotNull(), F.shiftleft(F.xxhash64(x), 2) + kind(x)))
+def _key(x: Column) -> Column:
+    """Key of a masked line, whose last two bits tell short (0), middle (1) and long (2) lines; null for blank ones."""
+    kind = F.when((_tokens(x) >= LONG_TOKENS) | (F.length(x) >= LONG_CHARS), 2).when((_tokens(x) >= MIN_TOKENS) | (F.length(x) >= SHORT_CHARS), 1).otherwise(0)
+    return F.when(x.isNotNull(), F.shiftleft(F.xxhash64(x), 2) + kind)
 
 
-def template_tree(docs: DataFrame) -> DataFrame:
-    """(n_tokens, leading, template, n_docs, first_doc) of every template of `docs`: a node for each count and leading tokens, and its leaf's templates."""
-    per = docs.select("doc_id", F.explode(F.array_distinct(line_templates(F.col("text")))).alias("template")).where("template is not null").distinct()
-    tokens = F.split("template", " ")
-    return per.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).select(F.size(tokens).alias("n_tokens"), F.array_join(F.slice(tokens, 1, LEADING), " ").alias("leading"), "template", "n_docs", "first_doc")
+def _leaf(x: Column) -> Column:
+    """Key of a masked line's leaf; null where the line is too short for a field."""
+    return F.when(_tokens(x) >= FIELD_SHARE, F.xxhash64(_tokens(x), F.substring_index(x, " ", LEADING)))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, store: Store | None = None) -> DataFrame:
-    """`docs`, all columns, with `text` less its recurring lines, and n_lines and n_dropped (columns of those names are replaced).
+def _open_leaves(lines: DataFrame) -> DataFrame:
+    """Leaves of several different lines, in MIN_DOCS documents."""
+    return lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("__lines"), F.sum("n").alias("__n")).where((F.col("__lines") >= 2) & (F.col("__n") >= MIN_DOCS)).select("leaf")
 
-    Lines are split at line feeds; the rest is joined with them. A null text stays
-    null and has no lines; an empty one has one blank line. Rows with one doc_id
-    are one document, rows without doc_id are one that comes after all others. A line
-    that comes several times in the first document stays there as often.
-    """
-    return _dedup(docs, _keys, F.lit(min_docs), store)
 
+def template_members(docs: DataFrame, lines: DataFrame, store: Store) -> DataFrame:
+    """(line, leaf) of each line that is of its leaf's template, by (line, leaf, n: documents that have it) of all lines of `docs`."""
+    leaves = store.keep(_open_leaves(lines), "leaves")
+    remainder = F.pmod("leaf", F.lit(REMAINDERS)).alias("__rest")
+    marked = docs.select(F.explode(F.array_distinct(F.filter(_each(masked_lines(F.col("text")), lambda x: F.struct(_key(x).alias("line"), _leaf(x).alias("leaf"), x.alias("masked"))), lambda s: s["leaf"].isNotNull()))).alias("s")).select("s.*")
+    near = marked.withColumn("__rest", remainder).join(F.broadcast(leaves.select(remainder).distinct()), "__rest", "left_semi")
+    texts = near.join(leaves, "leaf", "left_semi").groupBy("line").agg(F.first("masked").alias("masked"))
+    texts = store.keep(texts.join(lines.where("leaf is not null"), "line").select("line", "leaf", "n", F.split("masked", " ").alias("tokens")), "tokens")
+    tokens = texts.select("line", "leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= LEADING)
+    most = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).groupBy("leaf", "pos").agg(F.min(F.struct(-F.col("n"), "token")).alias("s")).select("leaf", "pos", F.col("s.token").alias("token"))
+    fits = tokens.join(most, ["leaf", "pos", "token"]).groupBy("line", "leaf", "size").agg(F.count("*").alias("fit"))
+    fields = F.col("size") - LEADING - F.col("fit")
+    return fits.where((FIELD_SHARE * fields <= F.col("size")) & (fields <= MAX_FIELDS)).select("line", "leaf")
 
-def dedup_all_lines(docs: DataFrame, store: Store | None = None) -> DataFrame:
-    """dedup_lines in which all lines but blank ones take part.
 
-    The first document alone keeps a line that stands in LONG_DOCS documents or more if
-    the line is long, in MIN_DOCS otherwise, or in SHORT_DOCS if it is short.
+def dedup_lines(docs: DataFrame, store: Store | None = None) -> DataFrame:
+    """`docs`, all columns, with `text` less its recurring lines, and n_lines and n_dropped (columns of those names are replaced).
+
+    Lines are split at line feeds; the rest is joined with them. All but blank lines
+    take part. A null text stays null and has no lines; an empty one has one blank
+    line. Rows with one doc_id are one document, rows without doc_id are one that comes
+    after all others. A line or template that comes several times in its first document
+    stays there as often. Of tokens that equally many documents have at a position, a
+    leaf's template has the first in the order of UTF-8 bytes.
     """
+    store = store or Store(docs.sparkSession, "lines")
+    both = _each(masked_lines(F.col("text")), lambda x: F.struct(_key(x).alias("line"), _leaf(x).alias("leaf")))
+    per = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(both)).alias("s")).select("doc", "s.line", "s.leaf").where("line is not null")
+    per = store.keep(per.groupBy("line", "leaf", "doc").agg(F.lit(1).alias("one")).select("line", "leaf", "doc"), "lines")
+    counted = store.keep(per.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min("doc").alias("first")), "counted")
     kind = F.col("line").bitwiseAND(F.lit(3))
-    return _dedup(docs, _whole_keys, F.when(kind == 2, LONG_DOCS).when(kind == 1, MIN_DOCS).otherwise(SHORT_DOCS), store)
+    often = counted.where(F.col("n") >= F.when(kind == 2, LONG_DOCS).when(kind == 1, MIN_DOCS).otherwise(SHORT_DOCS)).select("line", "first")
 
+    members = store.keep(template_members(docs, counted.select("line", "leaf", "n"), store), "members")
+    templates = per.join(members.select("line"), "line").groupBy("leaf", "doc").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= MIN_DOCS)
+    of_template = members.join(templates.select("leaf", F.col("first").alias("__first")), "leaf").select("line", "__first")
+    often = often.join(of_template, "line", "full_outer").select("line", F.coalesce("__first", "first").alias("first"))
 
-def _dedup(docs: DataFrame, keys: Callable[[Column], Column], enough: Column, store: Store | None) -> DataFrame:
-    store = store or Store(docs.sparkSession, "lines")
-    per = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(keys(F.col("text")))).alias("line")).where("line is not null")
-    per = store.keep(per.groupBy("line", "doc").agg(F.lit(1).alias("one")).select("line", "doc"), "lines")
-    often = per.groupBy("line").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= enough).select("line", "first")
-    dropped = per.join(often, "line").where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy("doc").agg(F.collect_list("line").alias("__dropped"))
-    both = docs.drop("n_lines", "n_dropped").join(dropped, F.col("doc_id").eqNullSafe(F.col("doc")), "left").drop("doc")
+    dropped = per.select("line", "doc").join(often, "line").where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy("doc").agg(F.collect_list("line").alias("__dropped"))
+    joined = docs.drop("n_lines", "n_dropped").join(dropped, F.col("doc_id").eqNullSafe(F.col("doc")), "left").drop("doc")
     lines = F.split("text", "\n")
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), keys(F.col("text")).alias("key")), lambda x: F.coalesce(~F.array_contains(F.col("__dropped"), x["key"]), F.lit(True))), lambda x: x["line"])
+    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), _each(masked_lines(F.col("text")), _key).alias("key")), lambda x: F.coalesce(~F.array_contains(F.col("__dropped"), x["key"]), F.lit(True))), lambda x: x["line"])
     kept = F.when(F.col("__dropped").isNotNull(), kept).otherwise(lines)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    both = both.select(*names, F.coalesce(F.size(lines), F.lit(0)).alias("__n"), kept.alias("__kept"))
+    joined = joined.select(*names, F.coalesce(F.size(lines), F.lit(0)).alias("__n"), kept.alias("__kept"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.col("__n"))
-    return both.select(*(F.array_join("__kept", "\n").alias("text") if c == "text" else c for c in names), n.cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.col("__n") - F.size("__kept")).cast("long").alias("n_dropped"))
+    return joined.select(*(F.array_join("__kept", "\n").alias("text") if c == "text" else c for c in names), n.cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.col("__n") - F.size("__kept")).cast("long").alias("n_dropped"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of dedup_lines over all documents."""
-    return _digests(dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digests of dedup_all_lines over all documents."""
-    return _digests(dedup_all_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def _digests(done: DataFrame) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-_SPACES = "[ \\t\\x0B\\f\\r]+"
-TEMPLATE_SQL = f"""
-  cut AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM {{docs}}),
-  line AS (SELECT r, doc_id, unnest(range(len(l))) AS pos, unnest(l) AS x FROM cut),
-  tidy AS (SELECT *, trim(regexp_replace(x, '{_SPACES}', ' ', 'g'), ' ') AS y FROM line),
-  keyed AS (SELECT r, doc_id, pos, x, CASE WHEN regexp_matches(y, '{_LONG_ENOUGH}') THEN regexp_replace(y, '[^ ]*[0-9@][^ ]*', '<*>', 'g') END AS k FROM tidy),
-  often AS (SELECT k, min(doc_id) AS first FROM keyed WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT coalesce(cast(doc_id AS VARCHAR), '-')) >= {MIN_DOCS}),
-  marked AS (SELECT e.*, o.k IS NOT NULL AND e.doc_id IS DISTINCT FROM o.first AS gone FROM keyed e LEFT JOIN often o ON e.k = o.k),
-  per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY r)"""
-OP3_SQL = f"""WITH {TEMPLATE_SQL.format(docs="documents")}
-SELECT c.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(p.kept, '')) AS kept_sha256 FROM cut c LEFT JOIN per p ON c.r = p.r"""
-OP3_WHOLE_SQL = f"""WITH
+OP3_SQL = f"""WITH
   cut AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
   line AS (SELECT r, doc_id, unnest(range(len(l))) AS pos, unnest(l) AS x FROM cut),
-  tidy AS (SELECT *, trim(regexp_replace(x, '{_SPACES}', ' ', 'g'), ' ') AS y FROM line),
+  tidy AS (SELECT *, trim(regexp_replace(x, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS y FROM line),
   masked AS (SELECT *, regexp_replace(y, '[^ ]*[0-9@][^ ]*', '<*>', 'g') AS z, len(string_split(y, ' ')) AS n FROM tidy),
   keyed AS (SELECT r, doc_id, pos, x, n, CASE WHEN n >= {MIN_TOKENS} AND 2 * len(list_filter(string_split(z, '<*>'), lambda a, i: i > 1)) <= n THEN z WHEN y <> '' THEN y END AS k FROM masked),
-  often AS (SELECT k, min(doc_id) AS first FROM keyed WHERE k IS NOT NULL GROUP BY k
-    HAVING count(DISTINCT coalesce(cast(doc_id AS VARCHAR), '-')) >= CASE WHEN min(n) >= {LONG_TOKENS} OR length(k) >= {LONG_CHARS} THEN {LONG_DOCS} WHEN min(n) >= {MIN_TOKENS} OR length(k) >= {SHORT_CHARS} THEN {MIN_DOCS} ELSE {SHORT_DOCS} END),
-  marked AS (SELECT e.*, o.k IS NOT NULL AND e.doc_id IS DISTINCT FROM o.first AS gone FROM keyed e LEFT JOIN often o ON e.k = o.k),
+  counted AS (SELECT k, min(n) AS n, min(doc_id) AS first, count(DISTINCT coalesce(cast(doc_id AS VARCHAR), '-')) AS docs FROM keyed WHERE k IS NOT NULL GROUP BY k),
+  often AS (SELECT k, first FROM counted WHERE docs >= CASE WHEN n >= {LONG_TOKENS} OR length(k) >= {LONG_CHARS} THEN {LONG_DOCS} WHEN n >= {MIN_TOKENS} OR length(k) >= {SHORT_CHARS} THEN {MIN_DOCS} ELSE {SHORT_DOCS} END),
+  placed AS (SELECT k, n, docs, array_to_string(string_split(k, ' ')[1:{LEADING}], ' ') AS lead FROM counted WHERE n >= {FIELD_SHARE}),
+  leaf AS (SELECT n, lead FROM placed GROUP BY n, lead HAVING count(*) >= 2 AND sum(docs) >= {MIN_DOCS}),
+  token AS (SELECT k, n, lead, docs, unnest(range(n)) AS p, unnest(string_split(k, ' ')) AS t FROM placed JOIN leaf USING (n, lead)),
+  support AS (SELECT n, lead, p, t, sum(docs) AS docs FROM token WHERE p >= {LEADING} GROUP BY n, lead, p, t HAVING sum(docs) >= {MIN_DOCS}),
+  most AS (SELECT n, lead, p, t FROM support QUALIFY row_number() OVER (PARTITION BY n, lead, p ORDER BY docs DESC, t) = 1),
+  fit AS (SELECT k, n, lead, n - {LEADING} - count(*) AS fields FROM token JOIN most USING (n, lead, p, t) GROUP BY k, n, lead),
+  member AS (SELECT k, n, lead FROM fit WHERE {FIELD_SHARE} * fields <= n AND fields <= {MAX_FIELDS}),
+  template AS (SELECT m.n, m.lead, min(doc_id) AS first FROM keyed e JOIN member m USING (k) GROUP BY m.n, m.lead HAVING count(DISTINCT coalesce(cast(doc_id AS VARCHAR), '-')) >= {MIN_DOCS}),
+  of_template AS (SELECT k, first FROM member JOIN template USING (n, lead)),
+  recurs AS (SELECT k, coalesce(t.first, o.first) AS first FROM often o FULL JOIN of_template t USING (k)),
+  marked AS (SELECT e.*, o.k IS NOT NULL AND e.doc_id IS DISTINCT FROM o.first AS gone FROM keyed e LEFT JOIN recurs o ON e.k = o.k),
   per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY r)
 SELECT c.doc_id, coalesce(p.n_lines, 0)::BIGINT AS n_lines, coalesce(p.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(p.kept, '')) AS kept_sha256 FROM cut c LEFT JOIN per p ON c.r = p.r"""

@@ -135,8 +135,6 @@ def test_line_dedup(docs, none):
     rows = {r.doc_id: r for r in got.collect() if r.doc_id is not None}
     assert rows[13].n_dropped == 0 and rows[14].n_dropped == 1 and rows[15].n_dropped == 2 and rows[17].n_dropped == 1
     assert rows[0].text is None and rows[0].n_lines == 0 and rows[1].n_lines == 1
-    tree = {r.template: r for r in line_dedup.template_tree(docs).collect()}
-    assert tree["page <*> of <*> pages"].n_docs == 3 and tree["page <*> of <*> pages"].leading == "page <*> of"
     assert line_dedup.dedup_lines(none).count() == 0
     assert "Python" not in got._jdf.queryExecution().toString() and "InArrow" not in got._jdf.queryExecution().toString()
 
