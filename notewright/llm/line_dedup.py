@@ -77,9 +77,9 @@ def template_members(docs: DataFrame, lines: DataFrame, store: Store) -> DataFra
     """(line, leaf) of each line that is of its leaf's template, by (line, leaf, n: documents that have it) of all lines of `docs`."""
     leaves = store.keep(_open_leaves(lines), "leaves")
     remainder = F.pmod("leaf", F.lit(REMAINDERS)).alias("__rest")
-    marked = docs.select(F.explode(F.array_distinct(F.filter(_each(masked_lines(F.col("text")), lambda x: F.struct(_key(x).alias("line"), _leaf(x).alias("leaf"), x.alias("masked"))), lambda s: s["leaf"].isNotNull()))).alias("s")).select("s.*")
+    marked = docs.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("masked")).select("masked", _leaf(F.col("masked")).alias("leaf")).where("leaf is not null")
     near = marked.withColumn("__rest", remainder).join(F.broadcast(leaves.select(remainder).distinct()), "__rest", "left_semi")
-    texts = near.join(leaves, "leaf", "left_semi").groupBy("line").agg(F.first("masked").alias("masked"))
+    texts = near.join(leaves, "leaf", "left_semi").withColumn("line", _key(F.col("masked"))).groupBy("line").agg(F.first("masked").alias("masked"))
     texts = store.keep(texts.join(lines.where("leaf is not null"), "line").select("line", "leaf", "n", F.split("masked", " ").alias("tokens")), "tokens")
     tokens = texts.select("line", "leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= LEADING)
     most = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).groupBy("leaf", "pos").agg(F.min(F.struct(-F.col("n"), "token")).alias("s")).select("leaf", "pos", F.col("s.token").alias("token"))
@@ -99,8 +99,8 @@ def dedup_lines(docs: DataFrame, store: Store | None = None) -> DataFrame:
     leaf's template has the first in the order of UTF-8 bytes.
     """
     store = store or Store(docs.sparkSession, "lines")
-    both = _each(masked_lines(F.col("text")), lambda x: F.struct(_key(x).alias("line"), _leaf(x).alias("leaf")))
-    per = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(both)).alias("s")).select("doc", "s.line", "s.leaf").where("line is not null")
+    masked = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("masked")).where("masked is not null")
+    per = masked.select("doc", _key(F.col("masked")).alias("line"), _leaf(F.col("masked")).alias("leaf"))
     per = store.keep(per.groupBy("line", "leaf", "doc").agg(F.lit(1).alias("one")).select("line", "leaf", "doc"), "lines")
     counted = store.keep(per.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min("doc").alias("first")), "counted")
     kind = F.col("line").bitwiseAND(F.lit(3))
