@@ -28,18 +28,14 @@ SHORT_CHARS, SHORT_DOCS = 20, 5
 #: Remainders of open leaves that are broadcast, 2^20 at most, spare other lines' text the shuffle; they do not decide anything.
 REMAINDERS = 1 << 20
 
-_LONG_ENOUGH = "^" + "[^ ]+ " * (MIN_TOKENS - 1) + "[^ ]"
+#: What makes a line untidy, besides a space at either end.
+_UNTIDY = ("  ", "\t", "\x0b", "\f", "\r")
 
 
 def _each(column: Column, f) -> Column:
     return F.transform(column, f)
 
 
-def _tidy(text: Column) -> Column:
-    lines = F.split(text, "\n")
-    return _each(lines, lambda x: F.when(x.rlike("[\\t\\x0B\\f\\r]|  |^ | $"), F.trim(F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " "))).otherwise(x))
-
-
 def _less(x: Column, part: str) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(part), F.lit("")))
 
@@ -48,24 +44,48 @@ def _tokens(x: Column) -> Column:
     return _less(x, " ") + 1
 
 
-def masked_lines(text: Column) -> Column:
-    """Of each line of a text, the line with its fields masked, or itself where it is short or less than half constant; null for blank lines."""
+def _tidy(x: Column) -> Column:
+    untidy = x.startswith(" ") | x.endswith(" ")
+    for part in _UNTIDY:
+        untidy = untidy | x.contains(part)
+    return F.when(untidy, F.trim(F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " "))).otherwise(x)
+
+
+def _fields(x: Column, tokens: Column) -> Column:
+    """A tidy line with its fields masked; null where it has none or is short."""
+    return F.when((tokens >= MIN_TOKENS) & x.rlike("[0-9@]"), F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>"))
 
-    def constant(x: Column, masked: Column) -> Column:
-        return F.when(2 * _less(masked, "<*>") <= 3 * _tokens(masked), masked).otherwise(x)
 
-    return _each(_tidy(text), lambda x: F.when(x.rlike(_LONG_ENOUGH) & x.rlike("[0-9@]"), constant(x, F.regexp_replace(x, "[^ 0-9@]*+[0-9@][^ ]*+", "<*>"))).when(x != "", x))
+def _masked(x: Column, fields: Column, tokens: Column) -> Column:
+    """Of a tidy line, the line with its fields masked, or itself where it is short or less than half constant; null for blank lines."""
+    return F.when(2 * _less(fields, "<*>") <= 3 * tokens, fields).when(x != "", x)
 
 
-def _key(x: Column) -> Column:
+def _key(x: Column, tokens: Column) -> Column:
     """Key of a masked line, whose last two bits tell short (0), middle (1) and long (2) lines; null for blank ones."""
-    kind = F.when((_tokens(x) >= LONG_TOKENS) | (F.length(x) >= LONG_CHARS), 2).when((_tokens(x) >= MIN_TOKENS) | (F.length(x) >= SHORT_CHARS), 1).otherwise(0)
+    kind = F.when((tokens >= LONG_TOKENS) | (F.length(x) >= LONG_CHARS), 2).when((tokens >= MIN_TOKENS) | (F.length(x) >= SHORT_CHARS), 1).otherwise(0)
     return F.when(x.isNotNull(), F.shiftleft(F.xxhash64(x), 2) + kind)
 
 
-def _leaf(x: Column) -> Column:
+def _leaf(x: Column, tokens: Column) -> Column:
     """Key of a masked line's leaf; null where the line is too short for a field."""
-    return F.when(_tokens(x) >= FIELD_SHARE, F.xxhash64(_tokens(x), F.substring_index(x, " ", LEADING)))
+    return F.when(tokens >= FIELD_SHARE, F.xxhash64(tokens, F.substring_index(x, " ", LEADING)))
+
+
+def line_keys(text: Column) -> Column:
+    """Of each line of a text, its key. Each transform binds what the next one needs more than once."""
+    tidy = _each(_each(F.split(text, "\n"), _tidy), lambda x: F.struct(x.alias("x"), _tokens(x).alias("n")))
+    fields = _each(tidy, lambda s: F.struct(s["x"].alias("x"), s["n"].alias("n"), _fields(s["x"], s["n"]).alias("f")))
+    return _each(_each(fields, lambda s: F.struct(_masked(s["x"], s["f"], s["n"]).alias("x"), s["n"].alias("n"))), lambda s: _key(s["x"], s["n"]))
+
+
+def masked_lines(docs: DataFrame) -> DataFrame:
+    """(doc, masked, tokens) of each line of `docs` that isn't blank, as often as it stands there."""
+    lines = docs.select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("x")).where(F.col("x").rlike("[^ \\t\\x0B\\f\\r]"))
+    tidy = lines.select("doc", _tidy(F.col("x")).alias("x"))
+    counted = tidy.select("doc", "x", _tokens(F.col("x")).alias("tokens"))
+    fields = counted.select("doc", "x", "tokens", _fields(F.col("x"), F.col("tokens")).alias("f"))
+    return fields.select("doc", _masked(F.col("x"), F.col("f"), F.col("tokens")).alias("masked"), "tokens")
 
 
 def _open_leaves(lines: DataFrame) -> DataFrame:
@@ -76,10 +96,11 @@ def _open_leaves(lines: DataFrame) -> DataFrame:
 def template_members(docs: DataFrame, lines: DataFrame, store: Store) -> DataFrame:
     """(line, leaf) of each line that is of its leaf's template, by (line, leaf, n: documents that have it) of all lines of `docs`."""
     leaves = store.keep(_open_leaves(lines), "leaves")
-    remainder = F.pmod("leaf", F.lit(REMAINDERS)).alias("__rest")
-    marked = docs.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("masked")).select("masked", _leaf(F.col("masked")).alias("leaf")).where("leaf is not null")
-    near = marked.withColumn("__rest", remainder).join(F.broadcast(leaves.select(remainder).distinct()), "__rest", "left_semi")
-    texts = near.join(leaves, "leaf", "left_semi").withColumn("line", _key(F.col("masked"))).groupBy("line").agg(F.first("masked").alias("masked"))
+    remainders = leaves.select(F.pmod("leaf", F.lit(REMAINDERS)).alias("__open")).distinct()
+    marked = masked_lines(docs).select("masked", "tokens", _leaf(F.col("masked"), F.col("tokens")).alias("leaf"))
+    # Inner and null-safe, since a semi-join or a filter for nulls would be pushed below and compute each line's leaf once more; the right sides' rows are distinct.
+    near = marked.withColumn("__rest", F.pmod("leaf", F.lit(REMAINDERS))).join(F.broadcast(remainders), F.col("__rest").eqNullSafe(F.col("__open"))).drop("__rest", "__open")
+    texts = near.join(leaves.withColumnRenamed("leaf", "__leaf"), F.col("leaf").eqNullSafe(F.col("__leaf"))).withColumn("line", _key(F.col("masked"), F.col("tokens"))).groupBy("line").agg(F.first("masked").alias("masked"))
     texts = store.keep(texts.join(lines.where("leaf is not null"), "line").select("line", "leaf", "n", F.split("masked", " ").alias("tokens")), "tokens")
     tokens = texts.select("line", "leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= LEADING)
     most = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).groupBy("leaf", "pos").agg(F.min(F.struct(-F.col("n"), "token")).alias("s")).select("leaf", "pos", F.col("s.token").alias("token"))
@@ -99,8 +120,7 @@ def dedup_lines(docs: DataFrame, store: Store | None = None) -> DataFrame:
     leaf's template has the first in the order of UTF-8 bytes.
     """
     store = store or Store(docs.sparkSession, "lines")
-    masked = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("masked")).where("masked is not null")
-    per = masked.select("doc", _key(F.col("masked")).alias("line"), _leaf(F.col("masked")).alias("leaf"))
+    per = masked_lines(docs).select("doc", _key(F.col("masked"), F.col("tokens")).alias("line"), _leaf(F.col("masked"), F.col("tokens")).alias("leaf"))
     per = store.keep(per.groupBy("line", "leaf", "doc").agg(F.lit(1).alias("one")).select("line", "leaf", "doc"), "lines")
     counted = store.keep(per.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min("doc").alias("first")), "counted")
     kind = F.col("line").bitwiseAND(F.lit(3))
@@ -114,7 +134,7 @@ def dedup_lines(docs: DataFrame, store: Store | None = None) -> DataFrame:
     dropped = per.select("line", "doc").join(often, "line").where(~F.col("doc").eqNullSafe(F.col("first"))).groupBy("doc").agg(F.collect_list("line").alias("__dropped"))
     joined = docs.drop("n_lines", "n_dropped").join(dropped, F.col("doc_id").eqNullSafe(F.col("doc")), "left").drop("doc")
     lines = F.split("text", "\n")
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), _each(masked_lines(F.col("text")), _key).alias("key")), lambda x: F.coalesce(~F.array_contains(F.col("__dropped"), x["key"]), F.lit(True))), lambda x: x["line"])
+    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), line_keys(F.col("text")).alias("key")), lambda x: F.coalesce(~F.array_contains(F.col("__dropped"), x["key"]), F.lit(True))), lambda x: x["line"])
     kept = F.when(F.col("__dropped").isNotNull(), kept).otherwise(lines)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = joined.select(*names, F.coalesce(F.size(lines), F.lit(0)).alias("__n"), kept.alias("__kept"))
