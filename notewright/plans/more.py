@@ -162,7 +162,7 @@ def course_documents(spark, sf_dir):
 SELECT deck, concat('> [!ABSTRACT] 课件摘要', chr(10), '> **Deck ', deck, '**', chr(10)) AS abstract, CASE WHEN len(l) > 2 THEN md5(concat('### ', l[1], CASE WHEN len(list_filter(l[2:], lambda x: x <> l[2])) > 0 THEN concat(chr(10), chr(10), array_to_string(list_filter(l[2:], lambda x: x <> l[2]), chr(10))) ELSE '' END)) ELSE md5('') END AS body FROM l""")
 def slide_decks(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")  # F.trim itself would take the index as what to trim
     cover = docs.select(F.col("doc_id").alias("deck"), F.lit(0).alias("page"), F.concat(F.lit("Deck "), "doc_id").alias("text"), F.array().cast("array<string>").alias("cells"))
     pages = docs.select(F.col("doc_id").alias("deck"), F.lit(1).alias("page"), "text", F.array(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))).alias("cells"))
     return courses.slide_decks(cover.unionByName(pages)).withColumn("body", F.md5("body"))

@@ -1,8 +1,10 @@
 """From files to sections to chapters and back to files."""
 
+import hashlib
 import struct
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from notewright.functions import layout as L
@@ -100,3 +102,16 @@ def test_untested_rules(spark):
     package = spark.createDataFrame([(1, "T", "c", "d")], "package long, title string, course string, date string")
     none = spark.createDataFrame([], "package long, pos int, name string, abstract string, body string, md string")
     assert courses.course_documents(package, none, none, []).first().md.endswith("> 共 0 份实操文档" + courses.BREAK + courses.TASKS)
+
+
+def test_slide_decks_keep_digits_of_cells(spark, tmp_path):
+    """A cell is the whole second line, whatever digit it begins or ends with."""
+    from notewright.plans import more, registry  # noqa: F401  more adds to registry
+
+    rows = [(1, "Title\n11 lines of 1\nrest\n11 lines of 1\nend"), (2, "Title\n\n22 lines of 2\nrest"), (3, " Title\n 1 \nrest 1\n1"), (4, "Title\n1"), (5, ""), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.QUERIES["slide_decks"](spark, str(tmp_path)).collect()))
+    assert got == sorted(c.sql(registry.ORACLE["slide_decks"]).fetchall())
+    assert [r[2] for r in got[:2]] == [hashlib.md5(x).hexdigest() for x in (b"### Title\n\nrest\nend", b"### Title\n\nrest")]
