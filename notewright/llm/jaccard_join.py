@@ -26,7 +26,10 @@ Steps, all linear in the input but for pairs that pass the bounds:
 4. Matrix rows (token, group, size band) bound the overlap of queries with smaller
    members of other groups. Groups that qualify are opened: their members are counted
    against the query token by token, and those that can link are compared.
-5. Links of sets give components, whose label is the smallest doc_id.
+5. Members of one group are compared with each other by what sets each apart from the
+   pivot. Most pairs are that near to it that they link for certain: those are counted
+   by a histogram, the rest in blocks, so a large group is no single task.
+6. Links of sets give components, whose label is the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesets import U64, Words, column_bytes, mix, shingle_sets, slices
@@ -51,6 +54,8 @@ WINDOW_TOKENS, MIN_OFTEN, MAX_HOT = 1 << 22, 8, 1 << 20
 EXTENT = 0.27
 BUCKET_POSTINGS = 1 << 19
 BLOCK = 64
+#: Members of a group that are compared with each other at once, of at most so many tokens.
+MEMBERS, MEMBER_TOKENS = 512, 1 << 22
 #: A size band is so many times wider than the one before.
 BAND = 1.04
 _ANY = 1 << 30
@@ -209,27 +214,33 @@ def _shared(frequent):
     return run
 
 
-def _compare(batches):
-    """Rows come by (hub, block), a hub's own row first; the hub's set meets each member's."""
-    schema = pa.schema([("hub", pa.int64()), ("fp", pa.int64()), ("n_hub", pa.int64()), ("n", pa.int64()), ("common", pa.int64())])
-    key, own = None, np.zeros(0, U64)
-    for batch in batches:
-        hubs, blocks, fps, roles = (batch[c].to_pylist() for c in ("hub", "block", "fp", "role"))
-        out = []
-        for lo, sets in _batches(batch):
-            for i, s in enumerate(sets, lo):
-                if _fingerprint(s) != fps[i]:
-                    continue  # another text under the same doc_id
-                if roles[i] == 0:
-                    key, own = (hubs[i], blocks[i]), s
-                elif key == (hubs[i], blocks[i]):
-                    out.append((hubs[i], fps[i], len(own), len(s), len(np.intersect1d(own, s, assume_unique=True))))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        yield arrow_rows(schema, **dict(zip(schema.names, cols, strict=True)))
+def _compare(apart: bool):
+    """Rows come by (hub, block), a hub's own row first; the hub's set meets each member's. With `apart`, linked members come with the tokens that only one of the two has."""
+    schema = pa.schema([("hub", pa.int64()), ("fp", pa.int64()), ("n_hub", pa.int64()), ("n", pa.int64()), ("common", pa.int64()), ("apart", pa.binary())])
+
+    def run(batches):
+        key, own = None, np.zeros(0, U64)
+        for batch in batches:
+            hubs, blocks, fps, roles = (batch[c].to_pylist() for c in ("hub", "block", "fp", "role"))
+            out = []
+            for lo, sets in _batches(batch):
+                for i, s in enumerate(sets, lo):
+                    if _fingerprint(s) != fps[i]:
+                        continue  # another text under the same doc_id
+                    if roles[i] == 0:
+                        key, own = (hubs[i], blocks[i]), s
+                    elif key == (hubs[i], blocks[i]):
+                        other = np.setxor1d(own, s, assume_unique=True)
+                        common = (len(own) + len(s) - len(other)) // 2
+                        out.append((hubs[i], fps[i], len(own), len(s), common, other.tobytes() if apart and 100 * common >= 75 * (len(own) + len(s) - common) else None))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield arrow_rows(schema, **dict(zip(schema.names, cols, strict=True)))
+
+    return run
 
 
-def _verify(store: Store, docs: DataFrame, nameless: DataFrame | None, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """(hub, fp, n_hub, n, common) of the pairs (hub, fp) of fingerprints, from the texts.
+def _verify(store: Store, docs: DataFrame, nameless: DataFrame | None, reps: DataFrame, pairs: DataFrame, name: str, apart: bool = False) -> DataFrame:
+    """(hub, fp, n_hub, n, common, apart) of the pairs (hub, fp) of fingerprints, from the texts.
 
     A hub's members are dealt in blocks of about BLOCK, each with a copy of the hub.
     Texts are fetched by doc_id, and from `nameless` by fingerprint where no row has one.
@@ -247,7 +258,8 @@ def _verify(store: Store, docs: DataFrame, nameless: DataFrame | None, reps: Dat
         if nameless is not None:
             rows = rows.unionByName(nameless.join(wanted.where("rep is null"), "fp").select("hub", "block", "fp", "role", "text"))
         dealt = rows.repartition(max(partitions(spark), 2), "hub", "block").sortWithinPartitions("hub", "block", "role")
-        return store.keep(dealt.mapInArrow(lean(_compare), "hub long, fp long, n_hub long, n long, common long").distinct(), f"{name}-compared")
+        found = dealt.mapInArrow(lean(_compare(apart)), "hub long, fp long, n_hub long, n long, common long, apart binary")
+        return store.keep(found.dropDuplicates(["hub", "fp"]) if apart else found.distinct(), f"{name}-compared")
 
 
 _LINK = "100 * common >= 75 * (n_hub + n - common)"
@@ -258,25 +270,121 @@ def _seen(n: str, k: str, m: str, km: str) -> str:
     return f"greatest(1, least(3 * ({n} + {m}) / 7 - {n} + {k}, 3 * ({n} + {m}) / 7 - {m} + {km}) - 1e-6)"
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of the sets `a` shares with each of the sets `b`."""
+    rows, cols = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    token, at = np.unique(np.concatenate((*a, *b)), return_inverse=True)
+    ta, tb = at[: len(rows)], at[len(rows) :]
+    ka, kb = np.bincount(ta, minlength=len(token)), np.bincount(tb, minlength=len(token))
+    out = np.zeros((len(a), len(b)), np.int64)
+    # Tokens of many pairs are multiplied as a matrix, others give their pairs one by one.
+    heavy = 64 * ka * kb > out.size
+    place = np.where(heavy, np.cumsum(heavy) - 1, -1)
+    pa_, pb = place[ta], place[tb]
+    for lo in range(0, int(np.count_nonzero(heavy)), 4096):
+        sides = []
+        for x, p, of in ((a, pa_, rows), (b, pb, cols)):
+            own = (p >= lo) & (p < lo + 4096)
+            sides.append(np.zeros((len(x), 4096), np.float32))
+            sides[-1][of[own], p[own] - lo] = 1
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    own = np.flatnonzero((pa_ < 0) & (kb[ta] > 0))
+    order = np.argsort(tb, kind="stable")
+    begin = np.cumsum(kb) - kb
+    for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(kb[ta[own]]) >> 20)) + 1):
+        times = kb[ta[part]]
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.repeat(rows[part], times) * len(b) + cols[order[np.repeat(begin[ta[part]], times) + step]]
+        out += np.bincount(pairs, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _meet(batches):
+    """Rows come by (hub, x, y): a block of members of a hub's group, on side 0, meets another, on side 1, or itself where there is none. Pairs that link for certain aren't counted."""
+    schema = pa.schema([("fp", pa.int64()), ("links", pa.int64()), ("docs", pa.int64())])
+    key, rows = None, []
+
+    def count():
+        sides = []
+        for side in (0, 1):
+            own = [r for r in rows if r["side"] == side]
+            sides.append(([np.frombuffer(r["apart"], U64) for r in own], *(np.array([r[c] for r in own], np.int64) for c in ("fp", "n", "common", "near", "w"))))
+        alone = not sides[1][0]
+        (a, fa, na, ca, va, wa), (b, fb, nb, cb, vb, wb) = sides[0], sides[0] if alone else sides[1]
+        if not a:
+            return
+        n_hub = rows[0]["n_hub"]
+        both = ca[:, None] + cb - n_hub + _overlaps(a, b)
+        link = (100 * both >= 75 * (na[:, None] + nb - both)) & (va[:, None] + vb < 7 * n_hub)
+        if alone:
+            np.fill_diagonal(link, False)
+        yield arrow_rows(schema, fp=fa, links=link.sum(axis=1), docs=link @ wb)
+        if not alone:
+            yield arrow_rows(schema, fp=fb, links=link.sum(axis=0), docs=wa @ link)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if (r["hub"], r["x"], r["y"]) != key:
+                if rows:
+                    yield from count()
+                key, rows = (r["hub"], r["x"], r["y"]), []
+            rows.append(r)
+    if rows:
+        yield from count()
+
+
+def _within(store: Store, near: DataFrame, reps: DataFrame) -> DataFrame:
+    """(fp, links, docs): of members of a group the other members that they link with, and the rows that have those sets.
+
+    Two sets that share c and d tokens with their pivot, of n_hub, share c + d - n_hub
+    or more with each other. With near = 7 c - 3 n, they link for certain if their
+    near's sum to 7 n_hub. Of two others one is below half of that, and those are few.
+    """
+    member = store.keep(near.where(_LINK).join(reps.select("fp", "w"), "fp").withColumn("near", F.expr("7 * common - 3 * n")), "members")
+    steps = member.groupBy("hub", "n_hub", "near").agg(F.count("*").alias("k"), F.sum("w").alias("kw"))
+    # For each value of near, how many are at or above the rest of 7 n_hub: a running sum over a hub's different values.
+    asked = steps.select("hub", F.col("near").alias("ask"), F.expr("7 * n_hub - near").alias("at"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("kw"), F.col("k").alias("own"), F.expr("2 * near >= 7 * n_hub").alias("high"))
+    given = steps.select("hub", F.lit(None).cast("long").alias("ask"), F.col("near").alias("at"), "k", "kw", F.lit(0).cast("long").alias("own"), F.lit(False).alias("high"))
+    above = Window.partitionBy("hub").orderBy(F.desc("at"), F.col("ask").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("hub")
+    sums = given.unionByName(asked).select("hub", "ask", "own", "high", F.sum("k").over(above).alias("sure"), F.sum("kw").over(above).alias("sure_w"), F.sum("k").over(whole).alias("all"))
+    sums = sums.where("ask is not null and all > 1").withColumn("open", F.expr("sure - if(high, 1, 0) < all - 1")).withColumnRenamed("ask", "near")
+    sums = store.keep(sums, "nearness")
+    certain = member.join(sums, ["hub", "near"]).select("fp", F.expr("sure - if(high, 1, 0)").alias("links"), F.expr("sure_w - if(high, w, 0)").alias("docs"))
+    # Blocks of low members (below half) meet each other and the blocks of the high ones.
+    size = F.expr(f"greatest(16, least({MEMBERS}, {MEMBER_TOKENS} div n_hub))")
+    blocks = sums.where("open").groupBy("hub").agg(F.sum(F.expr("if(high, 0, own)")).alias("low"), F.sum(F.expr("if(high, own, 0)")).alias("up"))
+    dealt = member.join(sums.where("open").select("hub", "near", "high"), ["hub", "near"]).join(blocks, "hub")
+    dealt = dealt.withColumn("low", F.ceil(F.col("low") / size)).withColumn("up", F.ceil(F.col("up") / size)).withColumn("block", F.expr("if(high, low + pmod(xxhash64(fp), up), pmod(xxhash64(fp), low))"))
+    meets = F.expr("if(high, transform(sequence(0L, low - 1), i -> struct(i as x, block as y, 1 as side)), transform(sequence(0L, low + up - 1), i -> struct(least(i, block) as x, greatest(i, block) as y, if(i < block, 1, 0) as side)))")
+    dealt = dealt.withColumn("meet", F.explode(meets)).select("hub", "meet.*", "fp", "n_hub", "n", "common", "near", "w", "apart")
+    met = dealt.repartition(max(partitions(near.sparkSession), 2), "hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(lean(_meet), "fp long, links long, docs long")
+    return certain.unionByName(met)
+
+
 def jaccard_join(docs: DataFrame, store: Store | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of each row of `docs` (doc_id, text; more columns are ignored).
+    """(doc_id, n_shingles, component_id, n_links, n_linked_docs) of each row of `docs` (doc_id, text; more columns are ignored).
 
     Two texts link if their sets of five-word shingles have a Jaccard similarity of
     0.75 or more; component_id is the smallest doc_id reachable by links. n_links
-    counts the other sets that the row's set was found to link with directly: at
-    least one if there is one, not all pairs of a group.
+    counts all other sets that the row's set links with directly, n_linked_docs the
+    other rows that the row links with: those that have these sets, or its own.
 
     Null and empty texts have n_shingles 0 and are their own component. Repeated
     rows give repeated result rows in one component. A row without doc_id takes
     the component of its text, which is null if no row with that text, and no
     partner, has a doc_id. An empty table gives an empty result.
     """
+    return _join(docs, store or Store(docs.sparkSession, "jaccard"), True)
+
+
+def _join(docs: DataFrame, store: Store, count: bool) -> DataFrame:
+    """jaccard_join; without `count`, links that components don't need aren't looked for, and the columns that count links aren't there."""
     spark = docs.sparkSession
-    store = store or Store(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = store.keep(docs.mapInArrow(lean(_scan_sets), "kind byte, a long, b long, c long"), "sets")
     sets = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), F.col("c").alias("n"))
-    reps = store.keep(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+    reps = store.keep(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("w")), "reps")
     lost, nameless = reps.where("rep is null").select("fp"), None
     if not lost.isEmpty():
         found = docs.where("doc_id is null and text is not null").select("text").mapInArrow(lean(_nameless), "fp long, text string")
@@ -292,7 +400,7 @@ def jaccard_join(docs: DataFrame, store: Store | None = None) -> DataFrame:
     pivot = post.groupBy("token").agg(F.min(F.struct("k", "fp", "n", "cap")).alias("p")).select("token", *(F.col(f"p.{a}").alias(b) for a, b in (("fp", "hub"), ("n", "n_hub"), ("k", "k_hub"), ("cap", "cap_hub"))))
     shared = post.join(pivot, "token").where(f"fp <> hub and {fits}").groupBy("fp", "n", "k", "hub", "n_hub", "k_hub").agg(F.count("*").alias("c"))
     star = shared.where(f"2 * c >= {_seen('n', 'k', 'n_hub', 'k_hub')}").groupBy("fp").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    near = _verify(store, docs, nameless, reps, star.select("hub", "fp"), "groups")
+    near = _verify(store, docs, nameless, reps, star.select("hub", "fp"), "groups", count)
     member = near.where(_LINK).select("fp", "hub")  # a hub that belongs to another still has a group of its own
     label = member.select("fp", "hub", F.lit(False).alias("leads")).unionByName(member.select(F.col("hub").alias("fp"), F.lit(None).cast("long").alias("hub"), F.lit(True).alias("leads")))
     label = label.groupBy("fp").agg(F.max("hub").alias("hub"), F.max("leads").alias("leads"))
@@ -314,19 +422,25 @@ def jaccard_join(docs: DataFrame, store: Store | None = None) -> DataFrame:
     inner = asked.join(group.where("many and cap >= n").select("token", "fp", "n", "k", "cap", "g"), ["token", "g"]).where(f"(n < n_hub or (n = n_hub and fp < hub)) and {fits}")
     inner = inner.groupBy("hub", "n_hub", "k_hub", "fp", "n", "k").agg(F.count("*").alias("c")).where(f"c >= {_seen('n', 'k', 'n_hub', 'k_hub')}").select("hub", "fp")
     tested = _verify(store, docs, nameless, reps, single.unionByName(inner), "opened")
-    return _finish(store, sets, reps, near.unionByName(tested))
+    return _finish(store, sets, reps, near.unionByName(tested), _within(store, near, reps) if count else None)
 
 
-def _finish(store: Store, sets: DataFrame, reps: DataFrame, compared: DataFrame) -> DataFrame:
+def _finish(store: Store, sets: DataFrame, reps: DataFrame, compared: DataFrame, within: DataFrame | None) -> DataFrame:
     links = store.keep(compared.where(_LINK).select(F.greatest("hub", "fp").alias("a"), F.least("hub", "fp").alias("b")).distinct(), "links")
     comp = components(store, links, "all")
     low = comp.join(reps, comp.node == reps.fp).groupBy("component").agg(F.min("rep").alias("component_id"))
     named = comp.join(low, "component").select(F.col("node").alias("fp"), "component_id")
-    degree = links.select(F.col("a").alias("fp")).unionAll(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    label = store.keep(reps.join(named.join(degree, "fp"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    counts = []
+    if within is not None:
+        ends = links.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("fp"), F.col("a").alias("other")))
+        ends = ends.join(reps.select(F.col("fp").alias("other"), "w"), "other").select("fp", F.lit(1).cast("long").alias("links"), F.col("w").alias("docs"))
+        named = named.join(ends.unionByName(within).groupBy("fp").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("docs")), "fp")
+        counts = [F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("docs", F.lit(0)) + F.col("w") - 1).alias("n_linked_docs")]
+    label = store.keep(reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), *counts), "labels")
     got = sets.join(label, "fp", "left")
     alone = F.col("n") == 0
-    return got.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    counts = [F.when(alone, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in label.columns[2:]]
+    return got.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *counts)
 
 
 def representatives(docs: DataFrame, store: Store | None = None) -> DataFrame:
@@ -336,7 +450,7 @@ def representatives(docs: DataFrame, store: Store | None = None) -> DataFrame:
     Only rows that go are looked for in the texts' table, by their ids.
     """
     store = store or Store(docs.sparkSession, "jaccard")
-    found = jaccard_join(docs, store)
+    found = _join(docs, store, False)
     away = found.where("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__away")).distinct()
     twice = found.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.count("*").alias("n")).where("n > 1").select("__twice")
     rest = docs.join(store.keep(away, "away"), F.col("doc_id") == F.col("__away"), "left_anti")
