@@ -45,6 +45,8 @@ SMOOTHING = 0.1
 CELLS = 1 << 21
 CLASSES = 8
 SLICE_BYTES = 4 << 20
+#: Words that a lattice takes at once, if they have no more than SLICE_BYTES.
+WORDS, OUT_ROWS = 1 << 16, 10_000
 
 _LOWER = LOWER.tobytes()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,25 +82,34 @@ def first_scores(path: str) -> np.ndarray:
     return np.log(weight / weight.sum())
 
 
+def _keys(raw: np.ndarray) -> np.ndarray:
+    """A hash of each row's bytes."""
+    out = np.zeros(len(raw), np.uint64)
+    for k in range(raw.shape[1]):
+        out = out * _BASE + raw[:, k] + np.uint64(1)
+    return (out * np.uint64(2) + np.uint64(1) + (np.uint64(raw.shape[1]) << np.uint64(56))).view(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _index(path: str) -> tuple[list[int], np.ndarray, np.ndarray, HashIndex]:
+    """What a Lattice needs to find pieces, whatever their scores: made once in a worker, as it takes longer than many a task's words."""
+    pieces = _pieces(path)[0]
+    sizes, place = np.array([len(p) for p in pieces]), {p: i for i, p in enumerate(pieces)}
+    lengths = sorted(set(sizes.tolist()))
+    keys = np.zeros(len(pieces), np.int64)
+    for size in lengths:
+        own = np.flatnonzero(sizes == size)
+        keys[own] = _keys(np.frombuffer(b"".join(pieces[i] for i in own), np.uint8).reshape(-1, size))
+    powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(lengths), _BASE))))
+    return lengths, np.array([place[bytes([b])] for b in range(256)], np.int64), powers, HashIndex(keys)
+
+
 class Lattice:
     """Lattices of many words of one byte length at once."""
 
     def __init__(self, path: str, logp: np.ndarray):
         self.logp = np.append(logp, -np.inf)
-        pieces = _pieces(path)[0]
-        self.lengths = sorted({len(p) for p in pieces})
-        self.single = np.array([pieces.index(bytes([b])) for b in range(256)], np.int64)
-        self.powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(self.lengths), _BASE))))
-        keys = np.array([self._key(np.frombuffer(p, np.uint8)[None, :], len(p))[0, 0] for p in pieces], np.int64)
-        self.index = HashIndex(keys)
-
-    def _key(self, raw: np.ndarray, size: int) -> np.ndarray:
-        """Hashes of all substrings of `size` bytes of each row."""
-        n = raw.shape[1] - size + 1
-        out = np.zeros((raw.shape[0], n), np.uint64)
-        for k in range(size):
-            out = out * _BASE + raw[:, k : k + n] + np.uint64(1)
-        return (out * np.uint64(2) + np.uint64(1) + (np.uint64(size) << np.uint64(56))).view(np.int64)
+        self.lengths, self.single, self.powers, self.index = _index(path)
 
     def edges(self, raw: np.ndarray) -> dict[int, np.ndarray]:
         """By piece length, the piece that ends a substring of each row at each place, or the last place of logp."""
@@ -171,6 +182,18 @@ def _words(raw: bytes | None) -> list[bytes]:
     return raw.translate(_LOWER).split() if raw else []
 
 
+def _gather(batches):
+    """The batches, joined to WORDS rows or more unless they have SLICE_BYTES: a lattice takes little longer for many words of a length than for few."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= WORDS or sum(b.nbytes for b in held) >= SLICE_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held and sum(b.num_rows for b in held):
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
@@ -207,7 +230,7 @@ def _fit(words: DataFrame, path: str, rounds: int) -> tuple[np.ndarray, float]:
 
         def run(batches, now=now):
             lattice, total = Lattice(path, now.value), np.zeros(len(now.value))
-            for batch in batches:
+            for batch in _gather(batches):
                 total += lattice.expected(batch["word"].to_pylist(), batch["c"].to_numpy().astype(float))
             used = np.flatnonzero(total)
             yield arrow_rows(pa.schema([("piece", pa.int32()), ("uses", pa.float64())]), piece=used.astype(np.int32), uses=total[used])
@@ -277,10 +300,13 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
         logp, classes, used = known.value
         lattice = Lattice(path, logp)
         schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("n", pa.int64()), ("logp", pa.float64()), ("by", pa.list_(pa.float64()))])
-        for batch in batches:
+        for batch in _gather(batches):
             own = lattice.word_logs(batch["word"].to_pylist()) / np.log(10)
-            count = np.array(batch["by"].to_pylist(), float).reshape(len(own), -1)[:, used]
-            yield arrow_rows(schema, word=batch["word"], c=batch["c"], n=batch["n"], logp=own, by=list(classes.logs(count, own)))
+            count = batch["by"].flatten().to_numpy().astype(float).reshape(len(own), -1)[:, used]
+            by = classes.logs(count, own)
+            for i in range(0, len(own), OUT_ROWS):
+                part = batch.slice(i, OUT_ROWS)
+                yield arrow_rows(schema, word=part["word"], c=part["c"], n=part["n"], logp=own[i : i + OUT_ROWS], by=list(by[i : i + OUT_ROWS]))
 
     scored = store.keep(words.where("word <> X''").repartition(max(partitions(spark), 2)).mapInArrow(lean(score_words), "word binary, c long, n long, logp double, by array<double>"), "scored")
     # Words above a count, so that `head` of them come to the driver at most: the count follows from a histogram of some hundred classes.
@@ -314,8 +340,9 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, rounds: int = RO
                 n = np.array([len(x) for x in split])
                 flat = list(chain.from_iterable(split))
                 at = np.fromiter(map(place, flat, repeat(-1)), np.int64, len(flat))
-                sums = np.vstack((np.zeros(3 + k), np.cumsum(cell[at], axis=0)))[np.concatenate(([0], np.cumsum(n)))]
-                sums = sums[1:] - sums[:-1]
+                sums, full = np.zeros((hi - lo, 3 + k)), np.flatnonzero(n)
+                if len(full):
+                    sums[full] = np.add.reduceat(cell[at], (np.cumsum(n) - n)[full], axis=0)
                 own_rows = row + np.arange(hi - lo)
                 yield arrow_rows(schema, row=own_rows, doc_id=ids[lo:hi], n_tokens=n + 1, n_known=np.rint(sums[:, 0]).astype(np.int64) + end_known, base=sums[:, 1] + end_base, lattice=sums[:, 2] + end_log, by=list(sums[:, 3:]), word=[None] * (hi - lo))
                 rare = Counter(zip(np.repeat(own_rows, n)[at < 0].tolist(), (flat[i] for i in np.flatnonzero(at < 0).tolist()), strict=True))
