@@ -100,7 +100,9 @@ def template_members(docs: DataFrame, lines: DataFrame, store: Store) -> DataFra
     marked = masked_lines(docs).select("masked", "tokens", _leaf(F.col("masked"), F.col("tokens")).alias("leaf"))
     # Inner and null-safe, since a semi-join or a filter for nulls would be pushed below and compute each line's leaf once more; the right sides' rows are distinct.
     near = marked.withColumn("__rest", F.pmod("leaf", F.lit(REMAINDERS))).join(F.broadcast(remainders), F.col("__rest").eqNullSafe(F.col("__open"))).drop("__rest", "__open")
-    texts = near.join(leaves.withColumnRenamed("leaf", "__leaf"), F.col("leaf").eqNullSafe(F.col("__leaf"))).withColumn("line", _key(F.col("masked"), F.col("tokens"))).groupBy("line").agg(F.first("masked").alias("masked"))
+    # Never null (no line here is blank), since the join by line below would be given a filter for nulls that masks each line several times more.
+    key = F.coalesce(_key(F.col("masked"), F.col("tokens")), F.lit(0).cast("long"))
+    texts = near.join(leaves.withColumnRenamed("leaf", "__leaf"), F.col("leaf").eqNullSafe(F.col("__leaf"))).withColumn("line", key).groupBy("line").agg(F.first("masked").alias("masked"))
     texts = store.keep(texts.join(lines.where("leaf is not null"), "line").select("line", "leaf", "n", F.split("masked", " ").alias("tokens")), "tokens")
     tokens = texts.select("line", "leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= LEADING)
     most = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).groupBy("leaf", "pos").agg(F.min(F.struct(-F.col("n"), "token")).alias("s")).select("leaf", "pos", F.col("s.token").alias("token"))
