@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import Store, arrow_rows, lean, table
+from .store import Store, arrow_rows, lean, small_batches, table
 from .word_bpe import WordBpe, WordCache
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -251,7 +252,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     spark = docs.sparkSession
     store = store or Store(spark, "packing")
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    pieces = store.keep(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(_tokenize(path, capacity)), _PIECES_DDL), "pieces")
+    with small_batches(spark, BATCH_ROWS):
+        pieces = store.keep(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(_tokenize(path, capacity)), _PIECES_DDL), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     own = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("before"))

@@ -60,6 +60,18 @@ def bloom_joins(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within this, tables written by mapInArrow hand over `rows` rows at a time, as else a task's whole texts are one batch, held by the JVM and by its worker."""
+    knob = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, now = spark.conf.get(knob, None), int(spark.conf.get(knob, "10000"))
+    spark.conf.set(knob, str(min(rows, now) if now > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(knob) if before is None else spark.conf.set(knob, before)
+
+
 def lean(run):
     """A function for mapInArrow that gives freed memory back to the machine, as Python workers outlive their tasks."""
 
